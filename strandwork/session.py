@@ -21,3 +21,24 @@ def local_session(cpus: int = 8, app: str = "strandwork", memory: str = "12g", *
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers once per application, so that they need no path of their own."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandwork-code-")) / "strandwork.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, str(p.relative_to(home.parent)))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
