@@ -71,6 +71,8 @@ def check(text: str | None, path: str | None) -> Verdict | None:
     near = [m.start() for m in _CONFLICT.finditer(text)]
     if any(abs(lexers.Lines(text).of(p) - line) <= 1 for p in near):
         cause = "conflict"
+    elif not text.strip():
+        cause = "truncated"
     elif any(k != kind and parse(text, k)[0] for k in ("python", "js", "ts", "go", "java", "json") if k != kind):
         cause = "extension"
     elif at >= len(text.rstrip()) or "ERR" in t.kinds[-3:]:

@@ -242,7 +242,7 @@ Switch <- 'switch' '(' Expr ')' SwitchBody
 SwitchBody <- '{' (Label ('->' (Block / 'throw' Expr ';' / Expr ';') / ':' BlockItem*))* '}'
 Label <- 'case' CaseItem (',' CaseItem)* ("when" Expr)? / 'default'
 CaseItem <- 'default' / 'null' / Pattern &("when" / ',' / '->' / ':') / Cond
-Pattern <- ('final' / Annotation)* Type (NAME / '_') / Type '(' (Pattern (',' Pattern)*)? ')' NAME? / '_'
+Pattern <- ('final' / Annotation)* Type (NAME / '_') / Type '(' (Pattern (',' Pattern)*)? ')' / '_'
 Try <- 'try' (Resources Block (Catch+ Finally? / Finally)? / Block (Catch+ Finally? / Finally))
 Resources <- '(' Resource (';' Resource)* ';'? ')'
 Resource <- ('final' / Annotation)* Type (NAME / '_') '=' Expr / Primary
