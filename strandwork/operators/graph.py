@@ -1,7 +1,14 @@
-"""Graph operators over edge tables."""
+"""Iterative graph operators over edge tables.
+
+Loops run on the driver, one level of the graph a round; each round's frontier is written to the shared folder, so that a
+plan never grows with the number of rounds and a lost executor costs no more than the round it was in.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +31,26 @@ def _fixpoint_max(edges: DataFrame, start: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id") -> DataFrame:
     """(id, component, size, self_loop): strong components; component is the smallest member id.
 
+    Leaves are raked and chains contracted first (see hierarchy.py), so that deep graphs take few rounds. Null ids are
+    ignored, repeated edges count once.
+    """
+    from strandwork.operators.hierarchy import resolve_hierarchy
+
+    e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
+    nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    _, flags = resolve_hierarchy(e, "src", "dst", every_ancestor=None)
+    member = cut(flags.where("state = 1").select(F.col("node").alias("id"), "scc"))
+    named = member.groupBy("scc").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    loops = e.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("self_loop"))
+    return nodes.join(member.join(named, "scc").drop("scc"), "id", "left").join(loops, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size"),
+        F.coalesce("self_loop", F.lit(False)).alias("self_loop"),
+    )
+
+
+def components_by_colour(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """The same without contraction, for graphs that it cannot shrink.
+
     Nodes without an incoming or outgoing edge are trimmed first, round by round, as each is its own component. What is
     left is coloured: the greatest id that reaches a node is its colour, and the nodes of a colour that lead back to
     that id are one component. Null ids are ignored, repeated edges count once.
@@ -61,3 +88,247 @@ def strong_components(edges: DataFrame, src: str = "caller_id", dst: str = "call
             "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
         )
     return comp.join(loops, "id", "left").select("id", "component", "size", F.coalesce("self_loop", F.lit(False)).alias("self_loop"))
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, src: str = "caller_id", dst: str = "callee_id", max_depth: int | None = None, skip_prefix: str | None = "external::") -> DataFrame:
+    """(seed, id, depth): nodes reached from each seed (column id) with the least number of steps, seeds at 0.
+
+    Level-synchronous over all seeds at once: one join and one anti-join a level. Ids with skip_prefix are not entered.
+    For the way up, swap src and dst. Without max_depth the search runs until nothing new is reached.
+    """
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    if skip_prefix:
+        e = e.where(~F.col("dst").startswith(skip_prefix))
+    e = cut(e)
+    seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).where("id is not null").distinct())
+    front, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        new = e.join(front.select("seed", F.col("id").alias("src")), "src").select("seed", F.col("dst").alias("id")).distinct()
+        front = cut(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def depths_from_roots(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id") -> DataFrame:
+    """(id, depth): least number of steps from any node without an incoming edge, -1 where none leads to it."""
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+    nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    e = cut(e)
+    seen = front = cut(nodes.join(e.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0)))
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        new = e.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front = cut(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(front)
+    return nodes.join(seen, "id", "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_steps: int = 6, src: str = "caller_id", dst: str = "callee_id") -> DataFrame:
+    """(path, length): all simple paths of at most max_steps from a source to a target (columns id).
+
+    Only nodes from which a target can still be reached in the steps left are entered, found by one search backwards.
+    """
+    e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct())
+    back = bfs(e, targets, "dst", "src", max_steps, None).groupBy("id").agg(F.min("depth").alias("left"))
+    back = cut(back)
+    front = cut(sources.select("id").distinct().join(back, "id").select(F.array("id").alias("path"), F.col("id").alias("at")))
+    goal = targets.select(F.col("id").alias("at")).distinct()
+    found = []
+    for step in range(1, max_steps + 1):
+        ahead = e.join(back.where(F.col("left") <= max_steps - step).select(F.col("id").alias("dst")), "dst", "left_semi")
+        front = cut(
+            front.join(ahead.withColumnRenamed("src", "at"), "at").where(~F.array_contains("path", F.col("dst")))
+            .select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+        )
+        found.append(front.join(goal, "at", "left_semi").select("path", F.lit(step).alias("length")))
+        if front.isEmpty():
+            break
+        front = front.join(goal, "at", "left_anti")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def pagerank(edges: DataFrame, src: str = "source", dst: str = "target", damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """(id, rank): (1-d)/n + d * what flows in, without spreading the rank of dead ends; at most rounds, or until the
+    greatest change is below tolerance; divided by the greatest rank, or 0.001."""
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
+    e = cut(e.join(out, "src"))
+    ids = cut(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
+    n = ids.count()
+    if not n:
+        return ids.withColumn("rank", F.lit(0.0))
+    rank = cut(ids.withColumn("rank", F.lit(1.0 / n)))
+    for _ in range(rounds):
+        flow = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("flow"))
+        new = cut(rank.join(flow, "id", "left").select("id", F.col("rank").alias("old"), (F.lit((1 - damping) / n) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")))
+        drop_cut(rank)
+        rank = new.select("id", "rank")
+        if tolerance is not None and new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
+            break
+    top = rank.agg(F.greatest(F.max("rank"), F.lit(0.001)).alias("top"))
+    return rank.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
+
+
+def communities(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id", rounds: int = 15) -> DataFrame:
+    """(id, community): label propagation over undirected links, all nodes at a time.
+
+    A node takes the label that most of its neighbours have, the smallest of several; it keeps its own where that is
+    among them. Counting labels combines on the map side, so a hub's neighbours are counted where they lie.
+    """
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
+    e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(e.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
+    for _ in range(rounds):
+        votes = e.join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
+        own = label.select(F.col("id").alias("a"), F.col("community").alias("own"))
+        best = votes.join(own, "a").groupBy("a", "own").agg(
+            F.min(F.struct(-F.col("n"), (F.col("community") != F.col("own")).cast("int").alias("other"), "community")).alias("m")
+        )
+        new = cut(best.select(F.col("a").alias("id"), F.col("m.community").alias("community"), (F.col("m.community") != F.col("own")).alias("moved")))
+        drop_cut(label)
+        label = new.select("id", "community")
+        if new.where("moved").isEmpty():
+            break
+    return label
+
+
+def betweenness(edges: DataFrame, src: str = "source", dst: str = "target", max_edges: int = 300_000) -> DataFrame:
+    """(id, betweenness): shortest paths through each node over all sources, directed, unweighted, divided by the greatest
+    (or 1). The links are sent to all tasks behind a check of their number; sources are shared out over the tasks.
+
+    Beyond max_edges the same search runs as joins, for all sources at once.
+    """
+    spark = edges.sparkSession
+    e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct())
+    ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    if e.count() > max_edges:
+        return _betweenness_joins(e, ids)
+    adjacency: dict[str, list[str]] = {}
+    for r in e.collect():
+        adjacency.setdefault(r["src"], []).append(r["dst"])
+    sent = spark.sparkContext.broadcast(adjacency)
+
+    def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up = sent.value
+        total: dict[str, float] = {}
+        for b in batches:
+            for s in b["id"]:
+                order, before, ways, dist = [s], {}, {s: 1.0}, {s: 0}
+                for v in order:
+                    for w in up.get(v, ()):
+                        if w not in dist:
+                            dist[w] = dist[v] + 1
+                            order.append(w)
+                        if dist[w] == dist[v] + 1:
+                            ways[w] = ways.get(w, 0.0) + ways[v]
+                            before.setdefault(w, []).append(v)
+                share: dict[str, float] = {}
+                for w in reversed(order):
+                    for v in before.get(w, ()):
+                        share[v] = share.get(v, 0.0) + ways[v] / ways[w] * (1 + share.get(w, 0.0))
+                    if w != s and w in share:
+                        total[w] = total.get(w, 0.0) + share[w]
+        yield pd.DataFrame(list(total.items()), columns=["id", "part"])
+
+    parts = ids.repartition(spark.sparkContext.defaultParallelism * 2, "id").mapInPandas(brandes, "id string, part double")
+    return _scaled(ids, parts.groupBy("id").agg(F.sum("part").alias("b")))
+
+
+def _scaled(ids: DataFrame, b: DataFrame) -> DataFrame:
+    b = cut(b)
+    top = b.agg(F.greatest(F.coalesce(F.max("b"), F.lit(1.0)), F.lit(1.0)).alias("top"))
+    return ids.join(b, "id", "left").crossJoin(F.broadcast(top)).select("id", F.coalesce(F.col("b") / F.col("top"), F.lit(0.0)).alias("betweenness"))
+
+
+def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same as joins: all sources go forward level by level counting ways, then back sharing them out."""
+    none = F.lit(0)
+    levels = [cut(ids.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("ways"), none.alias("depth")))]
+    seen = levels[0].select("s", "id")
+    while True:
+        last = levels[-1]
+        nxt = e.join(last.withColumnRenamed("id", "src"), "src").groupBy("s", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
+        nxt = cut(nxt.join(seen, ["s", "id"], "left_anti").withColumn("depth", F.lit(len(levels))))
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        seen = seen.unionByName(nxt.select("s", "id"))
+    share = cut(levels[-1].select("s", "id", F.lit(0.0).alias("share")))
+    total = None
+    for k in range(len(levels) - 1, 0, -1):
+        low = levels[k].join(share, ["s", "id"])
+        upper = levels[k - 1].select("s", F.col("id").alias("src"), F.col("ways").alias("w0"))
+        part = e.join(low.withColumnRenamed("id", "dst"), "dst").join(upper, ["s", "src"])
+        part = part.groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("w0") / F.col("ways") * (1 + F.col("share"))).alias("share"))
+        share = cut(levels[k - 1].select("s", "id").join(part, ["s", "id"], "left").select("s", "id", F.coalesce("share", F.lit(0.0)).alias("share")))
+        if k > 1:
+            total = share if total is None else total.unionByName(share)
+    if total is None:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    return _scaled(ids, total.where("s <> id").groupBy("id").agg(F.sum("share").alias("b")))
+
+
+def cycles(edges: DataFrame, max_length: int = 6, src: str = "parent_id", dst: str = "child_id") -> DataFrame:
+    """(cycle, length): simple cycles of at most max_length, each once, its smallest id first.
+
+    Paths start at the smallest node of their cycle and only enter greater ones, inside strong components.
+    """
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+    comp = cut(strong_components(e, "src", "dst").where("size > 1 or self_loop").select("id", "component"))
+    inner = cut(
+        e.join(comp.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src")
+        .join(comp.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
+    )
+    front = inner.where("src <= dst").select(F.array("src").alias("cycle"), "dst")
+    out = None
+    for length in range(1, max_length + 1):
+        front = cut(front)
+        closed = front.where(F.col("dst") == F.col("cycle")[0]).select("cycle", F.lit(length).alias("length"))
+        out = closed if out is None else out.unionByName(closed)
+        front = (
+            front.where((F.col("dst") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("dst")))
+            .select(F.concat("cycle", F.array("dst")).alias("cycle"), F.col("dst").alias("src")).join(inner, "src").select("cycle", "dst")
+            .where(F.col("dst") >= F.col("cycle")[0])
+        )
+    return out
+
+
+def adjacency_with_overrides(calls: DataFrame, links: DataFrame, methods: DataFrame, limit: int = 200) -> DataFrame:
+    """(src, dst, via): calls, and for each parent-child pair of classes all pairs of their methods, unless there are more
+    than limit of them. links (parent_id, child_id), methods (class_id, id)."""
+    n = methods.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = (
+        links.select("parent_id", "child_id").distinct()
+        .join(n.select(F.col("class_id").alias("parent_id"), F.col("n").alias("n1")), "parent_id")
+        .join(n.select(F.col("class_id").alias("child_id"), F.col("n").alias("n2")), "child_id").where(F.col("n1") * F.col("n2") <= limit)
+    )
+    up = methods.select(F.col("class_id").alias("parent_id"), F.col("id").alias("src"))
+    low = methods.select(F.col("class_id").alias("child_id"), F.col("id").alias("dst"))
+    extra = pairs.join(up, "parent_id").join(low, "child_id").select("src", "dst", F.lit("inheritance").alias("via"))
+    own = calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), F.lit("call").alias("via")).where("src is not null and dst is not null")
+    return own.unionByName(extra).distinct()
+
+
+def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """(id, fan_in, fan_out, upstream, downstream, blast, risk, level) of each seed (column id).
+
+    risk is at most 100: 4 per caller, 2 per callee, 20 for a hub and 1.5 per node within depth either way.
+    """
+    from strandwork.operators.callgraph import HUB_FAN_IN, degrees
+    from strandwork.util import js_round
+
+    up = bfs(edges, seeds, "callee_id", "caller_id", depth).where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("upstream"))
+    down = bfs(edges, seeds, "caller_id", "callee_id", depth).where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("downstream"))
+    d = degrees(nodes, edges).join(seeds.select("id").distinct(), "id", "left_semi")
+    d = d.join(up.withColumnRenamed("seed", "id"), "id", "left").join(down.withColumnRenamed("seed", "id"), "id", "left").fillna(0, ["upstream", "downstream"])
+    d = d.withColumn("blast", F.col("upstream") + F.col("downstream"))
+    risk = js_round(4 * F.col("fan_in") + 2 * F.col("fan_out") + F.when(F.col("fan_in") >= HUB_FAN_IN, 20).otherwise(0) + 1.5 * F.col("blast"))
+    level = F.when(F.col("risk") <= 20, "low").when(F.col("risk") <= 45, "medium").when(F.col("risk") <= 70, "high").otherwise("critical")
+    return d.withColumn("risk", F.least(F.lit(100), risk).cast("int")).withColumn("level", level)

@@ -84,7 +84,7 @@ def _below(seeds: set[str], down: dict[str, list[str]]) -> set[str]:
     return seen
 
 
-def solve_local(edges: list[tuple[str, str, int, list[str]]], every_ancestor: bool, paths: bool) -> Iterator[tuple]:
+def solve_local(edges: list[tuple[str, str, int, list[str]]], every_ancestor: bool | None, paths: bool) -> Iterator[tuple]:
     """Solve one bounded edge list of (child, parent, weight, nodes between): rows as in _SOLVED."""
     best: dict[tuple[str, str], tuple[int, list[str]]] = {}
     for child, parent, w, via in edges:
@@ -101,6 +101,8 @@ def solve_local(edges: list[tuple[str, str, int, list[str]]], every_ancestor: bo
     for v in up:
         if v in touched:
             yield v, None, None, None, 1 if v in scc else 2, scc.get(v)
+    if every_ancestor is None:
+        return
     targets = list(down) if every_ancestor else [p for p in down if p not in up]
     for t in targets:
         dist: dict[str, int] = {}
@@ -202,10 +204,12 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _spread(edges: DataFrame, every: bool, paths: bool) -> tuple[DataFrame, DataFrame]:
     """The plain distributed fixpoint, for a quotient that no longer shrinks: relax until nothing improves."""
-    from strandwork.operators.graph import strong_components
+    from strandwork.operators.graph import components_by_colour
 
     e = cut(edges)
     parents = e.select(F.col("parent").alias("node")).distinct()
+    if every is None:
+        parents = parents.limit(0)
     start = parents if every else parents.join(e.select(F.col("child").alias("node")), "node", "left_anti")
     none = F.array().cast("array<string>")
     front = cut(start.select("node", F.col("node").alias("target"), F.lit(0).alias("depth"), none.alias("path")))
@@ -228,7 +232,7 @@ def _spread(edges: DataFrame, every: bool, paths: bool) -> tuple[DataFrame, Data
             .agg(F.min(F.struct("depth", "path")).alias("b"))
             .select("node", "target", "b.depth", "b.path")
         )
-    scc = cut(strong_components(e, "child", "parent").where("size > 1 or self_loop").select(F.col("id").alias("node"), F.col("component").alias("scc")))
+    scc = cut(components_by_colour(e, "child", "parent").where("size > 1 or self_loop").select(F.col("id").alias("node"), F.col("component").alias("scc")))
     seen = scc.select("node")
     front = seen
     while not front.isEmpty():
@@ -313,6 +317,13 @@ def _between(raw: DataFrame, gone: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _lower(lost: DataFrame, rows: DataFrame, flags: DataFrame, looped: DataFrame | None, edges: DataFrame, every: bool, paths: bool):
     """Add the rows and flags of the children in lost, whose parents are already solved."""
+    state = lost.join(flags.select(F.col("node").alias("parent"), "state"), "parent", "left_semi").select(F.col("child").alias("node"), F.lit(2).alias("state"), F.lit(None).cast("string").alias("scc"))
+    if looped is not None:
+        mine = looped.join(lost.select(F.col("child").alias("node")), "node", "left_semi")
+        state = state.unionByName(mine.select("node", F.lit(1).alias("state"), "scc"))
+    flags = flags.unionByName(state.groupBy("node").agg(F.min("state").alias("state"), F.max("scc").alias("scc")))
+    if every is None:
+        return rows, flags
     none = F.array().cast("array<string>")
     roots = edges.select("parent").distinct().join(edges.select(F.col("child").alias("parent")), "parent", "left_anti")
     tail = F.concat("via", F.array("parent"), F.coalesce("path", none)) if paths else none
@@ -336,19 +347,14 @@ def _lower(lost: DataFrame, rows: DataFrame, flags: DataFrame, looped: DataFrame
         below.unionByName(near).groupBy("node", "target").agg(F.min(F.struct("depth", "path")).alias("b"))
         .select("node", "target", "b.depth", "b.path")
     )
-    state = lost.join(flags.select(F.col("node").alias("parent"), "state"), "parent", "left_semi").select(F.col("child").alias("node"), F.lit(2).alias("state"), F.lit(None).cast("string").alias("scc"))
-    if looped is not None:
-        mine = looped.join(lost.select(F.col("child").alias("node")), "node", "left_semi")
-        state = state.unionByName(mine.select("node", F.lit(1).alias("state"), "scc"))
-    state = state.groupBy("node").agg(F.min("state").alias("state"), F.max("scc").alias("scc"))
-    return rows.select("node", "target", "depth", "path").unionByName(new), flags.unionByName(state)
+    return rows.select("node", "target", "depth", "path").unionByName(new), flags
 
 
 def resolve_hierarchy(
     links: DataFrame,
     parent: str = "parent_id",
     child: str = "child_id",
-    every_ancestor: bool = False,
+    every_ancestor: bool | None = False,
     paths: bool = False,
     max_local_edges: int = MAX_LOCAL_EDGES,
 ) -> tuple[DataFrame, DataFrame]:
@@ -356,8 +362,8 @@ def resolve_hierarchy(
 
     rows (node, target, depth, path): for each node with a parent, each root above it, or each ancestor if
     every_ancestor, with the smallest number of steps and, if paths, the nodes on the way up, target last; of several
-    shortest ways the one whose ids come first in order. flags (node, state, scc): state 1 for nodes on a cycle
-    (scc: its smallest id), 2 for nodes below one.
+    shortest ways the one whose ids come first in order. None for every_ancestor asks for the flags alone. flags (node, state, scc): state 1 for nodes on a cycle
+    (scc: the id of one of them, the same for all), 2 for nodes below one.
 
     Rows with a null id are ignored, repeated pairs count once, other columns are not read whatever their names. An
     empty table gives empty results. A node that is its own parent is a cycle; a node on a cycle is its own ancestor.

@@ -1,7 +1,8 @@
 """All queries of the core with their SQL."""
 
-from strandwork.plans import data_problems
+from strandwork.plans import data_problems, graph_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = {**data_problems.QUERIES}
-SQL = {**data_problems.SQL}
+FLAGSHIP = "graph_critical_hubs"
+_PARTS = (data_problems, graph_queries)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
