@@ -41,14 +41,16 @@ class SessionTimers:
 
     def close(self):
         done = (self.start, self.end, self.counts)
-        self.start, self.counts = None, [0] * len(self.counts)
+        self.start, self.end, self.counts = None, 0, [0] * len(self.counts)
         return done
 
     def at(self, ts: int, kind: int):
+        """Take an event in. One that comes late extends its session backwards, or is a session by itself."""
+        if self.start is not None and ts < self.start - self.gap:
+            return ts, ts, [int(k == kind) for k in range(len(self.counts))]
         done = self.expire(ts)
-        if self.start is None:
-            self.start = ts
-        self.end = ts
+        self.start = ts if self.start is None else min(self.start, ts)
+        self.end = ts if done or self.end < ts else self.end
         if kind >= 0:
             self.counts[kind] += 1
         return done

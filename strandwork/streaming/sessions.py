@@ -44,7 +44,7 @@ class SessionProcessor(StatefulProcessor):
     def _rows(self, key, done: list) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *d) for d in done], columns=["key", "start_us", "end_us", "counts"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         t = self._load()
         every = pd.concat(list(rows)).sort_values("us")
         done = [d for d in (t.at(int(us), int(k)) for us, k in zip(every.us, every.kind)) if d]
@@ -52,9 +52,9 @@ class SessionProcessor(StatefulProcessor):
         if done:
             yield self._rows(key, done)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         t = self._load()
-        done = t.expire(expired.get_expiry_time_in_ms() * 1000)
+        done = t.expire(expiredTimerInfo.getExpiryTimeInMs() * 1000)
         self._save(t)
         if done:
             yield self._rows(key, [done])
@@ -79,7 +79,7 @@ class LeaseProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("lease", "pickled binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         import pickle
 
         every = pd.concat(list(rows)).sort_values("ts")
