@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwork.functions.text import LANGUAGES, split_words
+from strandwork.functions.text import split_words
 from strandwork.operators import callgraph, coverage, extract
-from strandwork.plans.text_queries import _EXT, _FILES, _LANG, _WORDS, files
+from strandwork.plans.text_queries import _FILES, _LANG, _WORDS, files
 from strandwork.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-assert LANGUAGES
 
 
 def query(sql: str | None = None):
