@@ -46,12 +46,27 @@ CODE_WORDS = (
 
 
 def rename_identifiers(code: Column | str) -> Column:
-    """Every identifier that is no keyword as _v0, _v1 ... in the order of its first place."""
-    parts = F.regexp_extract_all(_c(code), F.lit(r"([A-Za-z_$][\w$]*|[^A-Za-z_$]+)"), 1)
-    keep = F.array(*map(F.lit, CODE_WORDS))
-    is_name = lambda x: x.rlike(r"^[A-Za-z_$]") & ~F.array_contains(keep, x)
-    names = F.array_distinct(F.filter(parts, is_name))
-    return F.array_join(F.transform(parts, lambda x: F.when(is_name(x), F.concat(F.lit("_v"), (F.array_position(names, x) - 1).cast("string"))).otherwise(x)), "")
+    """Every identifier that is no keyword as _v0, _v1 ... in the order of its first place; null stays null.
+
+    In Arrow batches: a fold over a map of names has no built-in form that is not quadratic in the names.
+    """
+    import re
+
+    import pandas as pd
+
+    keep, name = frozenset(CODE_WORDS), re.compile(r"[A-Za-z_$][\w$]*", re.A)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            if x is None:
+                return None
+            seen: dict[str, str] = {}
+            return name.sub(lambda m: m.group() if m.group() in keep else seen.setdefault(m.group(), f"_v{len(seen)}"), x)
+
+        return s.map(one)
+
+    return run(_c(code))
 
 
 def sha16(text: Column | str) -> Column:

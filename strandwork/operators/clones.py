@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.functions.text import normalise_code, rename_identifiers, sha16, shingles, tokens
+from strandwork.functions.text import normalise_code, rename_identifiers, sha16, shingles, tokens, words
 from strandwork.util import cut
 
 
@@ -19,7 +19,7 @@ def clone_groups(units: DataFrame, unit_id: str, code: str, least_lines: int = 5
     names as well ('renamed'); a unit in an exact group is in no other. Short units and null code are left out.
     """
     u = units.select(F.col(unit_id).alias("uid"), F.col(code).alias("code")).where("code is not null")
-    u = u.where((F.size(F.split("code", "\n")) >= least_lines)).withColumn("plain", normalise_code("code")).where(F.size(tokens("plain")) >= least_tokens)
+    u = u.where((F.size(F.split("code", "\n")) >= least_lines)).withColumn("plain", normalise_code("code")).where(F.size(words("plain")) >= least_tokens)
     u = u.withColumn("h1", sha16("plain")).withColumn("h2", sha16(rename_identifiers("plain"))).select("uid", "h1", "h2")
     u = cut(u)
     many = lambda df, h: df.groupBy(h).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(h)

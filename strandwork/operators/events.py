@@ -45,7 +45,7 @@ def trajectory(lease: DataFrame) -> DataFrame:
     e = _once(lease.select("lease_id", "event", "agent", "density"), "lease_id").where("event in ('degraded', 'stale')")
     d = F.when(~F.isnan("density") & (F.col("density") > 0), F.col("density"))
     return e.groupBy(F.coalesce(clean_agent(), F.lit("unknown")).alias("agent")).agg(
-        F.count(d).alias("n_samples"), F.round(F.avg(d), 6).alias("avg_density"), F.max(d).alias("max_density"), F.sum(F.coalesce((d >= 0.6).cast("int"), F.lit(0))).alias("n_bursts")
+        F.count(d).alias("n_samples"), F.round(F.avg(d), 12).alias("avg_density"), F.max(d).alias("max_density"), F.sum(F.coalesce((d >= 0.6).cast("int"), F.lit(0))).alias("n_bursts")
     )
 
 

@@ -46,7 +46,7 @@ SQL = {
 CAST(floor(avg(CASE WHEN {_OK} THEN ms END) + 0.5) AS BIGINT) AS avg_ms, max(CASE WHEN {_OK} THEN ms END) AS max_ms FROM m WHERE tool IS NOT NULL GROUP BY tool""",
     "events_agent_stats": f"""WITH {_M} SELECT coalesce(agent, 'unknown') AS agent, count(*) AS n, count(DISTINCT tool) AS n_tools, count(DISTINCT agent_version) AS n_versions, min(ts) AS first_ts, max(ts) AS last_ts FROM m GROUP BY 1""",
     "events_trajectory": f"""WITH {_L}, k AS (SELECT coalesce(agent, 'unknown') AS agent, CASE WHEN NOT isnan(density) AND density > 0 THEN density END AS d FROM l WHERE event IN ('degraded', 'stale'))
-SELECT agent, count(d) AS n_samples, round(avg(d), 6) AS avg_density, max(d) AS max_density, CAST(sum(CASE WHEN d >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS n_bursts FROM k GROUP BY agent""",
+SELECT agent, count(d) AS n_samples, round(avg(d), 12) AS avg_density, max(d) AS max_density, CAST(sum(CASE WHEN d >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS n_bursts FROM k GROUP BY agent""",
     "events_recovery": f"""WITH {_M}, {_L}, o AS (SELECT agent, ts FROM m WHERE tool = 'orient' AND event = 'tool_call' AND agent IS NOT NULL AND ts IS NOT NULL),
 s AS (SELECT lease_id, agent, ts FROM l WHERE event = 'stale' AND agent IS NOT NULL AND ts IS NOT NULL), j AS (SELECT s.*, (SELECT min(o.ts) FROM o WHERE o.agent = s.agent AND o.ts > s.ts) AS recovered_at FROM s)
 SELECT *, (epoch_us(recovered_at) - epoch_us(ts)) / 1000.0 AS recovery_ms FROM j""",

@@ -98,7 +98,7 @@ def text_token_estimate(spark, d):
 
 
 @query(f"""WITH {_FILES}, p AS (SELECT file_id, {_PLAIN} AS plain, content FROM f WHERE content IS NOT NULL AND len(string_split(content, chr(10))) >= 5),
-q AS (SELECT * FROM p WHERE len({_TOK.format('plain')}) >= 10), g AS (SELECT plain FROM q GROUP BY plain HAVING count(*) >= 2)
+q AS (SELECT * FROM p WHERE len(regexp_extract_all(plain, '[^\\x{{9}}-\\x{{D}} ]+')) >= 10), g AS (SELECT plain FROM q GROUP BY plain HAVING count(*) >= 2)
 SELECT file_id, 'exact' AS kind, substr(sha256(plain), 1, 16) AS group_id FROM q WHERE plain IN (SELECT plain FROM g)""")
 def clones_exact(spark, d):
     return clones.clone_groups(files(spark, d), "file_id", "content").where("kind = 'exact'")

@@ -24,7 +24,8 @@ def skipped(path: Column, ignore: tuple[str, ...] = (), include: tuple[str, ...]
 def walk(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), include: tuple[str, ...] = (), content: bool = False) -> DataFrame:
     """One row per file below root: path, name, extension, directory, depth, size, modified, lines, flags.
 
-    Paths are filtered before any content is read; without content only shebangs and line counts need it.
+    Paths are filtered before any content is read; without content only shebangs and line counts need it. Files whose
+    name begins with a dot or underscore are not listed by Spark's file sources.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
