@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +53,6 @@ def rename_identifiers(code: Column | str) -> Column:
 
     In Arrow batches: a fold over a map of names has no built-in form that is not quadratic in the names.
     """
-    import re
-
-    import pandas as pd
-
     keep, name = frozenset(CODE_WORDS), re.compile(r"[A-Za-z_$][\w$]*", re.A)
 
     @F.pandas_udf("string")
@@ -212,8 +211,6 @@ def path_flags(path: Column | str) -> Column:
 
 def glob_pattern(glob: str) -> str:
     """An anchored regular expression for a glob with **, * and ?."""
-    import re
-
     out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
     return f"^{out}$"
 
