@@ -1,0 +1 @@
+"""Lexing of source files and functions found by matching brackets."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandwork.functions.text import split_words
-from strandwork.operators import callgraph, coverage, extract
+from strandwork.operators import callgraph, codegraph, coverage, extract
 from strandwork.plans.text_queries import _FILES, _LANG, _WORDS, files
 from strandwork.sources.tables import table
 
@@ -225,3 +225,17 @@ def change_weights(spark, d):
         F.bool_or(F.col("is_hub") == 1).alias("hub"), F.coalesce(F.max("fan_in"), F.lit(0)).alias("mx"), F.count(F.lit(1)).alias("n_functions")
     )
     return g.select("file_path", "n_functions", (1 + F.when(F.col("hub"), 2).otherwise(0) + F.least(F.lit(3), F.ceil(F.col("mx") / 5.0).cast("int"))).alias("weight"))
+
+
+@query(None)
+def built_functions(spark, d):
+    """Functions that the call-graph builder finds in the source files."""
+    return codegraph.build_call_graph(files(spark, d))[0]
+
+
+@query(None)
+def built_call_edges(spark, d):
+    """Calls between them, resolved with the relative imports of the files."""
+    f = files(spark, d)
+    i = extract.resolved_imports(f).join(f.select("file_id", "file_path"), "file_id").join(f.select(F.col("file_id").alias("target_id"), F.col("file_path").alias("target_path")), "target_id")
+    return codegraph.build_call_graph(f, i.select("file_path", "target_path"))[1]
