@@ -1 +1 @@
-"""Lexers and packrat parsers of the languages of source files."""
+"""Packrat parsers of the languages of source files."""
