@@ -7,9 +7,10 @@ ids are ignored; only the columns named are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.operators.ordered import rank_within
 from strandwork.util import js_round
 
 HUB_FAN_IN = 5
@@ -200,8 +201,7 @@ def node_rankings(links: DataFrame) -> DataFrame:
     """(file, in_degree, out_degree, kind, rank): files by in_degree within leaf, root and inner ones."""
     d = file_degrees(links)
     kind = F.when(F.col("out_degree") == 0, "leaf").when(F.col("in_degree") == 0, "root").otherwise("inner")
-    w = Window.partitionBy("kind").orderBy(F.col("in_degree").desc(), "file")
-    return d.withColumn("kind", kind).withColumn("rank", F.row_number().over(w))
+    return rank_within(d.withColumn("kind", kind), ["kind"], [F.desc("in_degree"), F.asc("file")], "rank")
 
 
 def tested_by(edges: DataFrame, nodes: DataFrame, test_path: str = r"(?i)(?:^|/)(?:tests?|__tests__)/|\.(?:test|spec)\.") -> DataFrame:

@@ -43,9 +43,11 @@ def drift(changes: DataFrame, mapping: DataFrame, existing: DataFrame, spec_doma
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
     """One row per key: the new one where there is one, of several the one with the greatest version."""
-    w = Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc_nulls_last(version))
+    rest = [c for c in old.columns if c not in key]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return both.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_new", "_i")
+    # the greatest of structs combines on the map side, whatever a key's share of the rows
+    best = both.groupBy(*key).agg(F.max(F.struct("_new", version, *[c for c in rest if c != version])).alias("_b"))
+    return best.select(*key, *[F.col("_b")[c].alias(c) for c in rest]).select(*old.columns)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -172,8 +172,8 @@ def pagerank(edges: DataFrame, src: str = "source", dst: str = "target", damping
         rank = new.select("id", "rank")
         if tolerance is not None and new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             break
-    top = rank.agg(F.greatest(F.max("rank"), F.lit(0.001)).alias("top"))
-    return rank.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
+    top = max(rank.agg(F.max("rank")).first()[0], 0.001)
+    return rank.select("id", (F.col("rank") / F.lit(top)).alias("rank"))
 
 
 def communities(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id", rounds: int = 15) -> DataFrame:
@@ -243,8 +243,8 @@ def betweenness(edges: DataFrame, src: str = "source", dst: str = "target", max_
 
 def _scaled(ids: DataFrame, b: DataFrame) -> DataFrame:
     b = cut(b)
-    top = b.agg(F.greatest(F.coalesce(F.max("b"), F.lit(1.0)), F.lit(1.0)).alias("top"))
-    return ids.join(b, "id", "left").crossJoin(F.broadcast(top)).select("id", F.coalesce(F.col("b") / F.col("top"), F.lit(0.0)).alias("betweenness"))
+    top = max(b.agg(F.max("b")).first()[0] or 1.0, 1.0)
+    return ids.join(b, "id", "left").select("id", F.coalesce(F.col("b") / F.lit(top), F.lit(0.0)).alias("betweenness"))
 
 
 def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:

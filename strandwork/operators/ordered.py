@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwork.util import cut
+
 SLICE_US = 6 * 3600 * 1_000_000
 
 
@@ -39,3 +41,20 @@ def as_of_forward(left: DataFrame, right: DataFrame, key: str, ts: str, out: str
     later = F.min(F.struct(F.col("_right").isNull(), "_right")).over(Window.partitionBy(key, "_slice").orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing))
     found = both.withColumn("_next", later["_right"]).where("_left = 1")
     return found.join(after, [key, "_slice"], "left").withColumn(out, F.coalesce("_next", "_after")).drop("_slice", "_left", "_right", "_next", "_after")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """df with out: the row's number 1.. within its key in the order given, which must be total.
+
+    Rows are dealt out by ranges of key and order, numbered within each range, and moved on by the number of rows of the
+    key in the ranges before; so no task needs all rows of a key.
+    """
+    r = cut(df.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    per = r.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = per.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n"))
+    before = before.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), "_before")
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = r.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    return own.join(before, same).withColumn(out, (F.col("_own") + F.col("_before")).cast("int")).select(*df.columns, out)

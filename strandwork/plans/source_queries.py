@@ -119,8 +119,8 @@ def language_breakdown(spark, d):
     from strandwork.functions.text import language_of
 
     c = files(spark, d).groupBy(language_of("file_path").alias("language")).agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.sum("n").alias("total"))
-    return c.crossJoin(F.broadcast(total)).select("language", "n", F.floor(100.0 * F.col("n") / F.col("total") + 0.5).cast("long").alias("percent"))
+    total = c.agg(F.sum("n")).first()[0] or 1
+    return c.select("language", "n", F.floor(100.0 * F.col("n") / F.lit(total) + 0.5).cast("long").alias("percent"))
 
 
 def _points(names: dict[str, int], n: str) -> list[str]:
