@@ -227,3 +227,16 @@ def remote_to_web(url: Column | str) -> Column:
     """A git remote as an https address."""
     u = F.regexp_replace(_c(url), r"^git@([^:]+):", "https://$1/")
     return F.regexp_replace(F.regexp_replace(u, r"^ssh://(?:[^@/]+@)?", "https://"), r"\.git/?$", "")
+
+
+LOG_LINE = r"^\s*(?:console\.\w+|logger?\.\w+|log\.\w+|print(?:ln|f)?|fmt\.Print\w*|System\.out\.\w+)\s*\("
+
+
+def skeleton(code: Column | str) -> Column:
+    """Code without comments and log lines, runs of blank lines as one."""
+    lines = F.filter(F.split(strip_comments(code), "\n"), lambda x: ~x.rlike(LOG_LINE))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.rtrim(x)), "\n"), "\n{3,}", "\n\n"))
+
+
+def skeleton_is_worth(code: Column | str, share: float = 0.8) -> Column:
+    return F.length(skeleton(code)) < share * F.length(_c(code))

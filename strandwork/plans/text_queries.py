@@ -52,6 +52,11 @@ def code_normalised(spark, d):
     return files(spark, d).where("content is not null").select("file_id", t.sha16(plain).alias("hash"), F.length(plain).cast("long").alias("n_chars"))
 
 
+@query(None)
+def code_skeletons(spark, d):
+    return files(spark, d).where("content is not null").select("file_id", t.skeleton("content").alias("skeleton"), t.skeleton_is_worth("content").alias("worth"))
+
+
 _DEC = r"\b(?:if|for|while|case|catch|switch)\b|&&|\|\||\?\?|\?(?:[^.?:]|$)"
 
 
