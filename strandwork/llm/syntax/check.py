@@ -40,6 +40,47 @@ def lex(text: str, kind: str) -> lexers.Lexed:
     return {"go": lexers.lex_go, "java": lexers.lex_java, "json": lexers.lex_json, "python": lexers.lex_python}[kind](text)
 
 
+# What may stand before a constructor's name.
+_BEFORE_CONSTRUCTOR = frozenset(["public", "private", "protected", "{", "}", ";"])
+_METHOD_ONLY = frozenset(["static", "abstract", "final", "native", "synchronized", "default", "strictfp"])
+
+
+def _misnamed(t: lexers.Lexed) -> int:
+    """The first Java member without a return type that is not named as its class, or -1.
+
+    A grammar cannot compare names; everything else about the member it has checked.
+    """
+    k, v = t.kinds, t.texts
+    stack: list[str] = []
+    header = ""
+    opened: list[int] = []
+    close: dict[int, int] = {}
+    for i, x in enumerate(k):
+        if x == "(":
+            opened.append(i)
+        elif x == ")" and opened:
+            close[i] = opened.pop()
+    for i, x in enumerate(k):
+        if x in ("class", "interface", "enum") and k[i - 1] != "." and k[i + 1] == "NAME" or x == "NAME" and v[i] == "record" and k[i + 1] == "NAME" and k[i + 2] in ("(", "<"):
+            header = ("enum " if x == "enum" else "") + v[i + 1]
+        if x == "{":
+            stack.append(header)
+            header = ""
+        elif x == "}" and stack:
+            stack.pop()
+        elif x == "NAME" and stack and stack[-1] and not header and k[i + 1] == "(":
+            own = stack[-1].removeprefix("enum ")
+            if own != stack[-1] and k[i - 1] in ("{", ","):
+                continue
+            j = i - 1
+            if k[j] == ")" and j in close:
+                j = close[j] - 1
+            annotated = k[j] == "NAME" and k[j - 1] == "@"
+            if (k[i - 1] in _BEFORE_CONSTRUCTOR or k[i - 1] in _METHOD_ONLY or annotated) and v[i] != own:
+                return i
+    return -1
+
+
 def parse(text: str, kind: str) -> tuple[bool, int, lexers.Lexed]:
     """(valid, start of the token that stopped the parse, tokens)."""
     t = lex(text, kind)
@@ -47,6 +88,8 @@ def parse(text: str, kind: str) -> tuple[bool, int, lexers.Lexed]:
         ok, far = grammar("js" if kind == "jsx" else kind).parse(t.kinds, t.texts, t.newline, t.adjacent)
     except RecursionError:
         return False, -1, t
+    if ok and kind == "java" and (bad := _misnamed(t)) >= 0:
+        return False, t.starts[bad], t
     return ok, t.starts[min(far, len(t.starts) - 1)], t
 
 

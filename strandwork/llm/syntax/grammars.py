@@ -28,20 +28,22 @@ ModName <- Word / STR
 FromClause <- "from" STR Attributes?
 Attributes <- ('with' / @NONL "assert") '{' ((Word / STR) ':' STR (',' (Word / STR) ':' STR)*)? ','? '}'
 Export <- Decorator* 'export' ('default' (Function / Class <T / "abstract" Class / Interface T> / Assign Eos) / <T "type"? T> '*' ("as" ModName)? FromClause Eos / <T "type"? T> Named FromClause? Eos / Declaration <T / '=' Expr Eos / "as" "namespace" Ident Eos / 'import' Ident '=' ("require" '(' STR ')' / Ident ('.' Word)*) Eos T>)
-Declaration <- Function / Class / Variable Eos / EnumDecl <T / Interface / TypeAlias / Namespace / Declare / "abstract" @NONL Class T>
+Declaration <- FunctionDecl / ClassDecl / Variable Eos / EnumDecl <T / Interface / TypeAlias / Namespace / Declare / "abstract" @NONL ClassDecl T>
 EnumDecl <- <T 'const'? 'enum' Ident '{' (EnumItem (',' EnumItem)*)? ','? '}' / T> !'enum' 'enum'
-EnumItem <- (Word / STR / '[' (STR / TEMPLATE) ']') ('=' Assign)?
+EnumItem <- (Word / STR / '[' (STR / TEMPLATE_FULL) ']') ('=' Assign)?
 Interface <- "interface" @NONL Ident TypeParams? ('extends' TypeRef (',' TypeRef)*)? ObjectType
 TypeAlias <- "type" @NONL Ident TypeParams? '=' Type Eos
 Namespace <- ("namespace" @NONL Ident ('.' Ident)* / "module" @NONL (Ident ('.' Ident)* / STR) / "global") (Block2 / &Eos2 Eos)
 Eos2 <- ';' / @NL
-Block2 <- '{' Item* '}'
-Declare <- "declare" @NONL (Function / Class / "abstract" Class / Variable Eos / EnumDecl / Interface / TypeAlias / Namespace)
-Ident <- NAME
-Statement <- Block / Variable Eos / ';' / If / For / While / Do / Continue / Break / Return / With / Switch / Throw / Try / 'debugger' Eos / Function / Class / Labelled <T / Interface / TypeAlias / Namespace / Declare / EnumDecl / "abstract" @NONL Class T> / !'{' !'function' !'class' Expr Eos
+Block2 <- '{' (Item / 'export'? Ambient Eos)* '}'
+Declare <- "declare" @NONL (FunctionDecl / ClassDecl / "abstract" ClassDecl / Ambient Eos / EnumDecl / Interface / TypeAlias / Namespace)
+Ident <- !"let" NAME
+Statement <- Block / Variable Eos / ';' / If / For / While / Do / Continue / Break / Return / With / Switch / Throw / Try / 'debugger' Eos / FunctionDecl / ClassDecl / Labelled <T / Interface / TypeAlias / Namespace / Declare / EnumDecl / "abstract" @NONL ClassDecl T> / !'{' !'function' !'class' !("async" @NONL 'function') Expr Eos
 Block <- '{' Statement* '}'
-Variable <- ('var' / 'const' <T !'enum' T> / "let" &(NAME / '[' / '{') !(NAME_IN_OF)) Binding (',' Binding)*
-Binding <- Target <T '!'? TypeNote? T> ('=' Assign)?
+Variable <- 'const' <T !'enum' T> Fixed (',' Fixed)* / ('var' / "let" &(NAME / '[' / '{')) Binding (',' Binding)*
+Fixed <- Target <T TypeNote? T> '=' Assign
+Binding <- Ident <T '!'? TypeNote? T> ('=' Assign)? / Fixed
+Ambient <- ('var' / 'const' / "let") Target TypeNote? ('=' Assign)? (',' Target TypeNote? ('=' Assign)?)*
 Target <- Ident / '[' (Element? ',')* Element? ']' / '{' (Property (',' Property)*)? ','? '}'
 Element <- '...' Target / Target ('=' Assign)?
 Property <- '...' Target / PropKey ':' Target ('=' Assign)? / Ident ('=' Assign)?
@@ -60,15 +62,19 @@ Switch <- 'switch' '(' Expr ')' '{' (('case' Expr / 'default') ':' Statement*)*
 Throw <- 'throw' @NONL Expr Eos
 Try <- 'try' Block ('catch' ('(' Target <T TypeNote? T> ')')? Block ('finally' Block)? / 'finally' Block)
 Labelled <- Ident ':' Statement
+FunctionDecl <- ("async" @NONL)? 'function' '*'? Ident <T TypeParams? T> Params <T ReturnNote? T> FunctionBody
+ClassDecl <- Decorator* 'class' !'{' !'extends' ClassTail
 Function <- ("async" @NONL)? 'function' '*'? Ident? <T TypeParams? T> Params <T ReturnNote? T> FunctionBody
 FunctionBody <- Block <T / &Eos2 Eos / &'}' / &EOF T>
 Params <- '(' (Param (',' Param)* ','?)? ')'
-Param <- Decorator* <T Modifier* T> ('...' Target / <T 'this' / T> Target) <T '?'? TypeNote? T> ('=' Assign)?
-Class <- Decorator* 'class' <T !"implements" T> Ident? <T TypeParams? T> ('extends' Unary <T TypeArgs? T>)? <T ("implements" TypeRef (',' TypeRef)*)? T> '{' Member* '}'
+Param <- Decorator* <T Access? Modifier* T> ('...' Target / <T 'this' / T> Target) <T '?'? TypeNote? T> ('=' Assign)?
+Class <- Decorator* 'class' ClassTail
+ClassTail <- <T !"implements" T> Ident? <T TypeParams? T> ('extends' Unary <T TypeArgs? T>)? <T ("implements" TypeRef (',' TypeRef)*)? T> '{' Member* '}'
 Decorator <- '@' (NAME ('.' (Word / PRIVATE))* (<T TypeArgs? T> Args)? / '(' Expr ')')
-Modifier <- ("public" / "private" / "protected" / "readonly" / "abstract" / "override" / "declare" / "accessor" / "static") !'=' !';' !'(' !':' !'?' !'!' !',' !')' !'}' !'<'
-Member <- ';' / "static" Block / Decorator* <T Modifier* T> <J ("static" !'=' !';' !'(' !'}' !@NLEND)? J> MemberBody
-MemberBody <- <T IndexSignature Eos / T> (("get" / "set") &MemberKey MemberKey Params <T ReturnNote? T> FunctionBody) / ("async" @NONL)? '*'? MemberKey <T '?'? TypeParams? T> Params <T ReturnNote? T> FunctionBody / ("accessor" @NONL)? MemberKey <T ('?' / '!')? TypeNote? T> ('=' Assign)? Eos
+Access <- ("public" / "private" / "protected") !'=' !';' !'(' !':' !'?' !'!' !',' !')' !'}' !'<'
+Modifier <- ("readonly" / "abstract" / "override" / "declare" / "accessor" / "static") !'=' !';' !'(' !':' !'?' !'!' !',' !')' !'}' !'<'
+Member <- ';' / "static" Block / Decorator* <T Access? Modifier* T> <J ("static" !'=' !';' !'(' !'}' !@NLEND)? J> MemberBody
+MemberBody <- <T IndexSignature Eos / T> (("get" / "set") &MemberKey MemberKey Params <T ReturnNote? T> FunctionBody) / ("async" @NONL &('*' / MemberKey))? '*'? MemberKey <T '?'? TypeParams? T> Params <T ReturnNote? T> FunctionBody / ("accessor" @NONL &MemberKey)? MemberKey <T ('?' / '!')? TypeNote? T> ('=' Assign)? Eos
 MemberKey <- PRIVATE / PropKey
 PropKey <- Word / STR / NUM / '[' Assign ']'
 Expr <- Assign (',' Assign)*
@@ -87,16 +93,16 @@ Postfix <- Call (@NONL ('++' / '--'))?
 Call <- ('new' NewTail / Primary) CallTail*
 NewTail <- '.' "target" / ('new' NewTail / Primary) NewPart* <T (TypeArgs &'(')? T> Args?
 NewPart <- '.' (Word / PRIVATE) / '[' Expr ']' / Template <T / @NONL '!' !'=' T>
-CallTail <- '.' (Word / PRIVATE) / '?.' (Args / '[' Expr ']' / Template / PRIVATE / Word) / '[' Expr ']' / Args / Template <T / @NONL '!' / TypeArgs &('(' / TEMPLATE_START / STR) (Args / Template) / TypeArgs !Operand T>
+CallTail <- '.' (Word / PRIVATE) / '?.' (Args / '[' Expr ']' / Template / PRIVATE / Word) / '[' Expr ']' / Args / Template <T / @NONL '!' / TypeArgs &('(' / TEMPLATE_START / TEMPLATE_FULL) (Args / Template) / TypeArgs !Operand T>
 Operand <- NAME / NUM / STR / '(' / '[' / '{' / '+' / '-' / 'new' / 'this'
 Args <- '(' ((('...')? Assign) (',' ('...')? Assign)* ','?)? ')'
-Template <- TemplateText / STR
+Template <- TemplateText / TEMPLATE_FULL
 TemplateText <- TEMPLATE_START Expr (TEMPLATE_MIDDLE Expr)* TEMPLATE_END
-Primary <- 'this' / 'super' / 'null' / 'true' / 'false' / NUM / STR / REGEX / TemplateText / Function / Class / ObjectLit / ArrayLit / '(' Expr ')' / 'import' ('(' Assign (',' Assign)? ','? ')' / '.' Word) / PRIVATE &'in' / Markup / Ident
+Primary <- 'this' / 'super' / 'null' / 'true' / 'false' / NUM / STR / TEMPLATE_FULL / REGEX / TemplateText / Function / Class / ObjectLit / ArrayLit / '(' Expr ')' / 'import' ('(' Assign (',' Assign)? ','? ')' / '.' Word) / PRIVATE &'in' / Markup / Ident
 Markup <- JSX_OPEN (JSX_HOLE ('...'? Expr)? JSX_END)* JSX_CLOSE
-ArrayLit <- '[' (','* ('...')? Assign)* ','* ']'
+ArrayLit <- '[' ','* ('...'? Assign (','+ '...'? Assign)*)? ','* ']'
 ObjectLit <- '{' (ObjectItem (',' ObjectItem)*)? ','? '}'
-ObjectItem <- '...' Assign / ("get" / "set") &MemberKey MemberKey Params <T ReturnNote? T> Block / ("async" @NONL)? '*'? MemberKey <T TypeParams? T> Params <T ReturnNote? T> Block / PropKey ':' Assign / Ident ('=' Assign)?
+ObjectItem <- '...' Assign / ("get" / "set") &MemberKey MemberKey Params <T ReturnNote? T> Block / ("async" @NONL &('*' / MemberKey))? '*'? MemberKey <T TypeParams? T> Params <T ReturnNote? T> Block / PropKey ':' Assign / Ident ('=' Assign)?
 """
 
 TYPES = """
@@ -112,7 +118,7 @@ UnionType <- '|'? InterType ('|' InterType)*
 InterType <- '&'? PrefixType ('&' PrefixType)*
 PrefixType <- ("keyof" / "unique" / "readonly") PrefixType / "infer" Ident ('extends' UnionType !'?')? / PostType
 PostType <- BaseType (@NONL '[' Type? ']')*
-BaseType <- '(' Type ')' / 'typeof' ('import' '(' Type ')' ('.' Word)* / (NAME / 'this') ('.' (Word / PRIVATE))*) TypeArgs? / 'import' '(' Type (',' ObjectLit)? ')' ('.' Word)* TypeArgs? / MappedType / ObjectType / TupleType / '-'? NUM / STR / TEMPLATE_START Type (TEMPLATE_MIDDLE Type)* TEMPLATE_END / 'void' / 'null' / 'this' / 'true' / 'false' / TypeRef
+BaseType <- '(' Type ')' / 'typeof' ('import' '(' Type ')' ('.' Word)* / (NAME / 'this') ('.' (Word / PRIVATE))*) TypeArgs? / 'import' '(' Type (',' ObjectLit)? ')' ('.' Word)* TypeArgs? / MappedType / ObjectType / TupleType / '-'? NUM / STR / TEMPLATE_FULL / TEMPLATE_START Type (TEMPLATE_MIDDLE Type)* TEMPLATE_END / 'void' / 'null' / 'this' / 'true' / 'false' / TypeRef
 TypeRef <- NAME ('.' Word)* (@NONL TypeArgs)?
 TupleType <- '[' (TupleItem (',' TupleItem)*)? ','? ']'
 TupleItem <- '...'? Word '?'? ':' '...'? Type / '...'? Type '?'?
@@ -374,6 +380,10 @@ Attribute <- Atom (Trailer &TrailerStart)* ('.' NAME / '[' Slices ']') !TrailerS
 """
 
 
+#: Statements that may hold statements; outside functions none of them may hold a return.
+_STATEMENTS = ("Statement", "Block", "If", "For", "While", "Do", "With", "Switch", "Try", "Labelled")
+
+
 def _js(types: bool, angle: bool) -> str:
     import re
 
@@ -385,6 +395,13 @@ def _js(types: bool, angle: bool) -> str:
     text = part("A", angle and types, text)
     text = part("J", not types, text)
     text = part("T", types, text)
+    rules = dict(line.split(" <- ", 1) for line in text.strip().split("\n"))
+    top = re.compile(rf"(?<![\w'\"])(?:{'|'.join(_STATEMENTS)})(?!\w)")
+    outside = lambda body: top.sub(lambda m: "Top" + m.group(), body)
+    for r in _STATEMENTS:
+        rules["Top" + r] = outside(rules[r].replace(" / Return /", " /"))
+    rules["Item"] = outside(rules["Item"])
+    text = "\n".join(f"{r} <- {body}" for r, body in rules.items()) + "\n"
     text = text.replace("@NONLAWAIT", "").replace("!(NAME_IN_OF)", "").replace("!@NLEND", "")
     return text + (TYPES if types else "")
 

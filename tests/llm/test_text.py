@@ -378,3 +378,22 @@ def test_lexers_survive_anything():
         t = "".join(r.choice(string.printable + "é日🙂`'\"/*{}") for _ in range(r.randrange(200)))
         for p in ("a.ts", "a.jsx", "a.py", "a.go", "A.java", "a.json"):
             assert check(t, p) is not None
+
+
+STRICTER = {
+    "a.ts": ["function () {}", "async function () {}", "class { }", "const a;", "let = 1;", "return 1;", "a 'b';", "x = [a b];", "class A { public public b() {} }", "{ a } from 'b'", "for (let = 0; ;) {}"],
+    "a.js": ["if (a) { return; }", "const a", "x = /a/gg;", "export function () {}"],
+    "A.java": ["class A { public b() { } }", "interface A { probe(String s); }", "class A { @X b(int c) { } }"],
+}
+LOOSER = {
+    "a.ts": ["export default function () {}", "export default class {}", "declare const a: number;", "declare namespace N { const a: number; function f(): void; }", "let a, b: number;", "for (const x of y) {}", "const f = function () { return 1; }", "x = [, a, , ...b, ];", "tag`a${b}`; tag`c`;", "class A { async() {} static() {} get() {} async = 1; }", "class A { static { for (;;) {} } }", "const { a } = b, c = () => { return 2; };"],
+    "A.java": ["class A { A() { } <T> A(T x) { } static class B { B() { this(1); } B(int i) { super(); } } }", "enum E { X(1) { int f() { return g(); } }, Y(2); E(int i) { } }", "record R(int a) { R { } static int h() { return k(); } }", "class A { int a = b(); { c(); } @X A(int i) { } }"],
+}
+
+
+@pytest.mark.parametrize("path", sorted({*STRICTER, *LOOSER}))
+def test_grammars_at_the_edges(path):
+    for t in STRICTER.get(path, []):
+        assert not check(t, path).valid, t
+    for t in LOOSER.get(path, []):
+        assert check(t, path).valid, (t, check(t, path))
