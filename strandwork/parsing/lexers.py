@@ -83,7 +83,7 @@ _JS = re.compile(
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 _TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*(`|\$\{)?")
-_OPERAND_END = frozenset(["NAME", "NUM", "STR", "REGEX", "TEMPLATE_END", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"])
+_OPERAND_END = frozenset(["NAME", "NUM", "STR", "REGEX", "TEMPLATE_END", "TEMPLATE_FULL", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"])
 _JSX_NAME = re.compile(r"[^\W\d][\w.$:-]*")
 _JSX_TEXT = re.compile(r"[^<{>}]+")
 
@@ -110,7 +110,7 @@ def lex_js(text: str, jsx: bool = False) -> Lexed:
         if m.group(1) == "`":
             put("TEMPLATE" if first else "TEMPLATE_END", text[at - 1 : m.end()], at - 1)
             if first:
-                out.kinds[-1] = "STR"
+                out.kinds[-1] = "TEMPLATE_FULL"
         else:
             put("TEMPLATE_START" if first else "TEMPLATE_MIDDLE", text[at - 1 : m.end()], at - 1)
             stack.append("`")
@@ -128,7 +128,8 @@ def lex_js(text: str, jsx: bool = False) -> Lexed:
                 operand = False
             m = None if operand else _JS_REGEX.match(text, pos)
             if m:
-                put("REGEX", m.group(), pos)
+                flags = m.group().rpartition("/")[2]
+                put("REGEX" if len(set(flags)) == len(flags) and set(flags) <= set("dgimsuvy") else "ERR", m.group(), pos)
                 pos = m.end()
             else:
                 s = "/=" if text.startswith("/=", pos) else "/"
