@@ -7,19 +7,25 @@ that meets there is compared in full. Copies are one class first, and only one t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.text import normalise_code, rename_identifiers, sha16, shingles, tokens, words
 from strandwork.util import cut
 
 
+def _plain(units: DataFrame, unit_id: str, code: str, least_lines: int, least_tokens: int) -> DataFrame:
+    u = units.select(F.col(unit_id).alias("uid"), F.col(code).alias("code")).where("code is not null")
+    return u.where((F.size(F.split("code", "\n")) >= least_lines)).withColumn("plain", normalise_code("code")).where(F.size(words("plain")) >= least_tokens)
+
+
 def clone_groups(units: DataFrame, unit_id: str, code: str, least_lines: int = 5, least_tokens: int = 10) -> DataFrame:
     """(unit_id, kind, group_id): units whose code is the same but for comments and white space ('exact'), or but for the
     names as well ('renamed'); a unit in an exact group is in no other. Short units and null code are left out.
     """
-    u = units.select(F.col(unit_id).alias("uid"), F.col(code).alias("code")).where("code is not null")
-    u = u.where((F.size(F.split("code", "\n")) >= least_lines)).withColumn("plain", normalise_code("code")).where(F.size(words("plain")) >= least_tokens)
+    u = _plain(units, unit_id, code, least_lines, least_tokens)
     u = u.withColumn("h1", sha16("plain")).withColumn("h2", sha16(rename_identifiers("plain"))).select("uid", "h1", "h2")
     u = cut(u)
     many = lambda df, h: df.groupBy(h).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(h)
@@ -29,6 +35,35 @@ def clone_groups(units: DataFrame, unit_id: str, code: str, least_lines: int = 5
     return exact.unionByName(renamed).withColumnRenamed("uid", unit_id)
 
 
+def near_groups(units: DataFrame, unit_id: str, code: str, grouped: DataFrame, threshold: float = 0.7, least_lines: int = 5, least_tokens: int = 10) -> DataFrame:
+    """(unit_id, kind 'near', group_id): units in none of the groups so far (column unit_id) whose runs of five words, names
+    renamed, are similar to those of the group's first unit.
+
+    As if one went through the units by id: a unit that is in no group yet takes all later ones that are similar to it and
+    in none either. group_id is the hash of the first unit's id. All pairs are compared, however many units there are.
+    """
+    u = _plain(units, unit_id, code, least_lines, least_tokens).join(grouped.select(F.col(unit_id).alias("uid")), "uid", "left_anti")
+    u = cut(u.select("uid", rename_identifiers("plain").alias("plain")))
+    pairs, member = similar_classes(u, "uid", "plain", threshold, split=words)
+    member = cut(member)
+    left = cut(pairs.select("a", "b"))
+    led = []
+    while not left.isEmpty():
+        # nobody before them is undecided, so they lead; whoever is similar to one of them is taken by the first
+        first = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")), "id", "left_anti")
+        new = cut(left.join(first.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader")))
+        led.append(new)
+        done = cut(new.select(F.col("b").alias("id")).unionByName(first))
+        left = cut(left.join(done.withColumnRenamed("id", "a"), "a", "left_anti").join(done.withColumnRenamed("id", "b"), "b", "left_anti"))
+    leads = member.select(F.col("class_id").alias("b"), F.col("class_id").alias("leader")).limit(0)
+    for x in led:
+        leads = leads.unionByName(x)
+    m = member.join(leads.withColumnRenamed("b", "class_id"), "class_id", "left").select(F.col("uid").alias(unit_id), F.coalesce("leader", "class_id").alias("leader"))
+    m = cut(m)
+    many = m.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("leader")
+    return m.join(many, "leader", "left_semi").select(unit_id, F.lit("near").alias("kind"), sha16(F.col("leader").cast("string")).alias("group_id"))
+
+
 def similar_texts(texts: DataFrame, text_id: str, text: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(text_id, class_id, n_links): each text's class of equal shingle sets and how many other classes are similar.
 
@@ -40,9 +75,9 @@ def similar_texts(texts: DataFrame, text_id: str, text: str, threshold: float =
     return member.join(ends, "class_id", "left").select(text_id, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.8, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b, similarity of classes; members text_id, class_id)."""
-    t = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("w", tokens("text"))
+def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.8, n: int = 5, split: Callable[[str], Column] = tokens) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b, similarity of classes; members text_id, class_id). split gives a text's words."""
+    t = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("w", split("text"))
     sh = F.when(F.size("w") >= n, shingles("w", n)).otherwise(F.array_distinct("w"))
     t = t.select("id", F.transform(F.array_sort(sh), lambda x: F.xxhash64(x)).alias("s"), F.sha2(F.array_join(F.array_sort(sh), "\n"), 256).alias("h"))
     t = cut(t)

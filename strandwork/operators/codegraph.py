@@ -62,19 +62,12 @@ _DECIDE = frozenset(["if", "for", "while", "case", "catch", "switch", "&&", "||"
 
 def scan_file(path: str, text: str) -> list[tuple]:
     """Rows of SITES: 'function' for each function of the file, 'call' for each call inside one."""
-    kind = _KINDS.get(path.rsplit(".", 1)[-1].lower())
-    if kind is None:
+    got = _tokens(path, text)
+    if got is None:
         return []
-    t = {"js": lex_js, "python": lex_python, "go": lex_go, "java": lex_java}[kind](text)
-    finder = {"js": find.js_functions, "python": find.python_functions, "go": find.go_functions, "java": find.java_functions}[kind]
+    kind, t, every = got
     lines = Lines(text)
     found = []
-    every = []
-    try:
-        every.extend((f[0], f[1], min(f[2], len(t.kinds) - 1)) for f in finder(t))
-    except IndexError:
-        # a file that breaks off: what was found before counts
-        pass
     match, ends = find.pairs(t.kinds), {f[2] for f in every}
     for name, first, last in every:
         cls = _class_of(t, name, kind, match, ends)
@@ -108,6 +101,64 @@ def scan_file(path: str, text: str) -> list[tuple]:
     return rows
 
 
+UNITS = "file_id long, name string, class_name string, start_line int, end_line int, start long, code string"
+
+
+def _tokens(path: str, text: str):
+    """(kind, lexed, its functions) of a file, or None for a language without a lexer."""
+    kind = _KINDS.get(path.rsplit(".", 1)[-1].lower())
+    if kind is None:
+        return None
+    t = {"js": lex_js, "python": lex_python, "go": lex_go, "java": lex_java}[kind](text)
+    finder = {"js": find.js_functions, "python": find.python_functions, "go": find.go_functions, "java": find.java_functions}[kind]
+    every = []
+    try:
+        every.extend((f[0], f[1], min(f[2], len(t.kinds) - 1)) for f in finder(t))
+    except IndexError:
+        # a file that breaks off: what was found before counts
+        pass
+    return kind, t, every
+
+
+def _units(path: str, text: str) -> list[tuple]:
+    """(name, class_name, start_line, end_line, start, code) of each function, from its declaration (without export and
+    decorators) to the end of its body."""
+    got = _tokens(path, text)
+    if got is None:
+        return []
+    kind, t, every = got
+    match, ends, lines = find.pairs(t.kinds), {f[2] for f in every}, Lines(text)
+    out = []
+    for name, first, last in every:
+        while kind == "js" and first < name and (t.texts[first] in ("export", "default", "declare") or t.kinds[first] == "@"):
+            if t.kinds[first] == "@":
+                first += 1
+                while first + 2 < name and t.kinds[first + 1] == ".":
+                    first += 2
+                if t.kinds[first + 1] == "(":
+                    first = match.get(first + 1, first)
+            first += 1
+        while last > name and t.kinds[last] in ("NEWLINE", "INDENT", "DEDENT", "EOF"):
+            last -= 1
+        first = min(first, name)
+        start, end = t.starts[first], t.starts[last] + len(t.texts[last])
+        out.append((t.texts[name], _class_of(t, name, kind, match, ends), lines.of(start), lines.of(max(start, end - 1)), start, text[start:end]))
+    return out
+
+
+def function_units(files: DataFrame) -> DataFrame:
+    """The code of each function of the files (UNITS), one pass over each file_id's text; null content gives none."""
+    n = max(3 * files.sparkSession.sparkContext.defaultParallelism, partitions(files.sparkSession))
+    one = files.select("file_id", "file_path", "content").where("file_id is not null and file_path is not null and content is not null").repartition(n, "file_id").dropDuplicates(["file_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in UNITS.split(", ")]
+        for b in batches:
+            yield pd.DataFrame([(i, *r) for i, p, x in zip(b.file_id, b.file_path, b.content) for r in _units(p, x)], columns=columns)
+
+    return one.mapInPandas(run, UNITS)
+
+
 def code_sites(files: DataFrame) -> DataFrame:
     """Functions and call sites of source files (SITES), one pass over each path's text; null content gives none."""
     n = max(3 * files.sparkSession.sparkContext.defaultParallelism, partitions(files.sparkSession))

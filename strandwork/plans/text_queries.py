@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import text as t
-from strandwork.operators import clones, retrieval
+from strandwork.operators import clones, codegraph, retrieval
 from strandwork.sources.tables import table
+from strandwork.util import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -111,6 +112,16 @@ def clones_exact(spark, d):
 
 @query(None)
 def clones_exact_and_renamed(spark, d):
+    """Functions that are copies of others: exact, renamed or near. Whole files are compared by clones_of_files."""
+    u = codegraph.function_units(files(spark, d))
+    u = cut(u.withColumn("id", F.concat_ws(":", "file_id", "start", "name")))
+    groups = cut(clones.clone_groups(u, "id", "code"))
+    every = groups.unionByName(clones.near_groups(u, "id", "code", groups))
+    return every.join(u.select("id", "file_id", "name", "class_name", "start_line", "end_line"), "id").select("file_id", "name", "class_name", "start_line", "end_line", "kind", "group_id")
+
+
+@query(None)
+def clones_of_files(spark, d):
     return clones.clone_groups(files(spark, d), "file_id", "content")
 
 

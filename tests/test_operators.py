@@ -105,6 +105,31 @@ def test_clones(spark):
     assert got[1] == got[2] and got[1][0] == "exact" and got[3] == got[4] and got[3][0] == "renamed" and set(got) == {1, 2, 3, 4}
 
 
+def test_clones_of_functions_in_different_files(spark, tmp_path):
+    from strandwork.plans import text_queries
+
+    body = "function copied(a) {\n  let total = 0;\n  for (const x of a) total += x * 2;\n  log(total);\n  return total;\n}\n"
+    near = "def work(rows):\n    out = []\n    for r in rows:\n        out.append(r + 1)\n        out.append(r - 1)\n        out.append(r * 7)\n        out.append(r / 3)\n    return out\n"
+    far = near.replace("    return out", "    log(out)\n    return out")
+    texts = [("a.ts", "const one = 1;\nexport " + body), ("b.ts", "// two\nimport { y } from './y';\n" + body + "y();\n"), ("c.py", "import x\n\n" + near + "\n\nx.go()\n"), ("d.py", far), ("e.ts", body.replace("copied", "other").replace("total", "sum")), ("f.ts", body.replace("copied", "third").replace("total", "all")), ("g.md", body), ("h.ts", None)]
+    spark.createDataFrame([(i, "r", p, c, "x") for i, (p, c) in enumerate(texts)], "file_id long, repo string, file_path string, content string, language string").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = {(r["file_id"], r["name"], r["start_line"], r["end_line"]): (r["kind"], r["group_id"]) for r in text_queries.clones_exact_and_renamed(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(0, "copied", 2, 7): "exact", (1, "copied", 3, 8): "exact", (2, "work", 3, 10): "near", (3, "work", 1, 9): "near", (4, "other", 1, 6): "renamed", (5, "third", 1, 6): "renamed"}
+    assert len(set(got.values())) == 3
+
+
+def test_near_groups_by_first_unit(spark):
+    w = [f"w{i}(" for i in range(60)]
+    line = lambda a: "\n".join([*a, ")", ")", ")"])
+    # 1 ~ 2 ~ 3 in a chain, 1 and 3 apart: 2 goes to 1, 3 stays alone and takes 4
+    chain = [[str(k + 7 * i) + "(" for k in range(60)] for i in range(3)]
+    u = spark.createDataFrame([(i + 1, line(c)) for i, c in enumerate(chain)] + [(4, line(chain[2]) + "+"), (5, line(w)), (6, "x")], "id long, code string")
+    pairs, _ = clones.similar_classes(u, "id", "code", 0.7, split=t.words)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(1, 2), (2, 3), (2, 4), (3, 4)}
+    got = {r["id"]: r["group_id"] for r in clones.near_groups(u, "id", "code", u.where("id = 0").select("id")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] == got[2] != got[3] == got[4]
+
+
 def test_similar_texts_against_all_pairs(spark):
     import random
 
