@@ -18,6 +18,15 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(_c(text)), "[^a-z0-9]+"), lambda x: F.length(x) > 1)
 
 
+# Scripts written without spaces between words; each of their characters counts as a word.
+_NO_SPACES = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def unicode_words(text: Column | str) -> Column:
+    """Lower-case runs of letters and digits of any script, of one character or more."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(rf"([{_NO_SPACES}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_NO_SPACES}]]+)"), 1)
+
+
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(r"(\S+)"), 1)
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.functions.text import normalise_code, rename_identifiers, sha16, shingles, tokens, words
+from strandwork.functions.text import normalise_code, rename_identifiers, sha16, shingles, unicode_words, words
 from strandwork.util import cut
 
 
@@ -75,11 +75,15 @@ def similar_texts(texts: DataFrame, text_id: str, text: str, threshold: float =
     return member.join(ends, "class_id", "left").select(text_id, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.8, n: int = 5, split: Callable[[str], Column] = tokens) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b, similarity of classes; members text_id, class_id). split gives a text's words."""
+def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.8, n: int = 5, split: Callable[[str], Column] = unicode_words) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b, similarity of classes; members text_id, class_id). split gives a text's words.
+
+    Texts without words are the same only if they are equal, and similar to none.
+    """
     t = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("w", split("text"))
     sh = F.when(F.size("w") >= n, shingles("w", n)).otherwise(F.array_distinct("w"))
-    t = t.select("id", F.transform(F.array_sort(sh), lambda x: F.xxhash64(x)).alias("s"), F.sha2(F.array_join(F.array_sort(sh), "\n"), 256).alias("h"))
+    whole = F.when(F.size(sh) > 0, F.array_join(F.array_sort(sh), "\n")).otherwise(F.concat(F.lit("\n"), "text"))
+    t = t.select("id", F.transform(F.array_sort(sh), lambda x: F.xxhash64(x)).alias("s"), F.sha2(whole, 256).alias("h"))
     t = cut(t)
     classes = t.groupBy("h").agg(F.min("id").alias("class_id"))
     member = t.select("id", "h").join(classes, "h").select(F.col("id").alias(text_id), "class_id")

@@ -130,6 +130,15 @@ def test_near_groups_by_first_unit(spark):
     assert set(got) == {1, 2, 3, 4} and got[1] == got[2] != got[3] == got[4]
 
 
+def test_similar_texts_of_any_script(spark):
+    ru = "Устаревший снимок задерживает все входящие вызовы несмотря на прежнее предупреждение сервера и журнала записей в архиве"
+    ja = "検討の担当者は見出しを直さない限り鮮度の状態を繰り返します"
+    texts = [(1, ru), (2, ru.upper() + "!"), (3, ru + " сегодня"), (4, ja), (5, ja + "。"), (6, ja + "か"), (7, "古いスナップショットは誰も求めていない"), (8, "!!"), (9, "??"), (10, "!!"), (11, "é a b c d e"), (12, "e a b c d é"), (13, ""), (14, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in clones.similar_texts(df, "id", "text").collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 1), 5: (4, 1), 6: (6, 1), 7: (7, 0), 8: (8, 0), 9: (9, 0), 10: (8, 0), 11: (11, 0), 12: (12, 0), 13: (13, 0)}
+
+
 def test_similar_texts_against_all_pairs(spark):
     import random
 
