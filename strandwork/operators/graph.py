@@ -276,9 +276,11 @@ def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, max_length: int = 6, src: str = "parent_id", dst: str = "child_id") -> DataFrame:
-    """(cycle, length): simple cycles of at most max_length, each once, its smallest id first.
+    """(cycle, length): simple cycles, each once, its smallest id first: all of at most max_length, and longer ones until
+    every node of a strong component is on one.
 
-    Paths start at the smallest node of their cycle and only enter greater ones, inside strong components.
+    Paths start at the smallest node of their cycle and only enter greater ones, inside strong components. For the nodes
+    left over, see _longer_cycles.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
     comp = cut(strong_components(e, "src", "dst").where("size > 1 or self_loop").select("id", "component"))
@@ -297,9 +299,32 @@ def cycles(edges: DataFrame, max_length: int = 6, src: str = "parent_id", dst: s
             .select(F.concat("cycle", F.array("dst")).alias("cycle"), F.col("dst").alias("src")).join(inner, "src").select("cycle", "dst")
             .where(F.col("dst") >= F.col("cycle")[0])
         )
+    out = cut(out)
+    for more in _longer_cycles(inner, cut(comp.join(out.select(F.explode("cycle").alias("id")), "id", "left_anti"))):
+        first = F.array_position("cycle", F.array_min("cycle")).cast("int")
+        turned = F.concat(F.slice("cycle", first, F.size("cycle")), F.slice("cycle", F.lit(1), first - 1))
+        out = out.unionByName(more.select(turned.alias("cycle"), F.size("cycle").alias("length")))
     return out
 
 
+def _longer_cycles(inner: DataFrame, left: DataFrame) -> Iterator[DataFrame]:
+    """(component, cycle): for the smallest id of each component among left (id, component) a shortest cycle through it,
+    again for those that are on none of these, until none is left. inner: the edges (src, dst) inside components."""
+    while not left.isEmpty():
+        seed = left.groupBy("component").agg(F.min("id").alias("src"))
+        front = cut(seed.select("component", F.array("src").alias("path"), "src"))
+        seen = front.select(F.col("src").alias("dst"))
+        while not front.isEmpty():
+            step = front.join(inner, "src")
+            closed = cut(step.where(F.col("dst") == F.col("path")[0]).groupBy("component").agg(F.min("path").alias("cycle")))
+            if not closed.isEmpty():
+                left = cut(left.join(closed.select(F.explode("cycle").alias("id")), "id", "left_anti"))
+                yield closed
+            ahead = step.join(closed.select("component"), "component", "left_anti").join(seen, "dst", "left_anti")
+            front = cut(ahead.groupBy("component", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")).select("component", "path", F.col("dst").alias("src")))
+            seen = seen.unionByName(front.select(F.col("src").alias("dst")))
+
+
 def adjacency_with_overrides(calls: DataFrame, links: DataFrame, methods: DataFrame, limit: int = 200) -> DataFrame:
     """(src, dst, via): calls, and for each parent-child pair of classes all pairs of their methods, unless there are more
     than limit of them. links (parent_id, child_id), methods (class_id, id)."""

@@ -233,7 +233,7 @@ w AS (SELECT [id] AS path, id AS pos FROM a UNION ALL SELECT list_append(path, q
 SELECT array_to_string(path, ' > ') AS path, len(path) - 1 AS length FROM w WHERE pos IN (SELECT id FROM s) AND len(path) > 1""")
 def graph_trace_paths(spark, d):
     n, e = _ne(spark, d)
-    p = g.simple_paths(e, n.where("is_entry_point = 1 and is_external = 0"), _seeds(spark, d), 3)
+    p = g.simple_paths(e, n.where("is_entry_point = 1 and is_external = 0"), _seeds(spark, d))
     return p.select(F.array_join("path", " > ").alias("path"), F.col("length").cast("long").alias("length"))
 
 

@@ -40,6 +40,14 @@ def test_depths_components_cycles(spark):
     assert rows(graph.cycles(e, 6, "caller_id", "callee_id")) == [(["a", "b", "c"], 3), (["s"], 1), (["x", "y"], 2)]
 
 
+def test_cycles_of_any_length(spark):
+    ring = [f"r{i:02d}" for i in (5, 3, 8, 1, 9, 2, 7, 4, 6)]
+    # the second ring hangs on a short loop, so a part of its nodes is on no short cycle
+    big = [f"b{i}" for i in range(8)]
+    e = edges(spark, [*zip(ring, [*ring[1:], ring[0]]), *zip(big, [*big[1:], big[0]]), ("b1", "b0"), ("x", "r05")])
+    assert rows(graph.cycles(e, 6, "caller_id", "callee_id")) == sorted([(["r01", "r09", "r02", "r07", "r04", "r06", "r05", "r03", "r08"], 9), (["b0", "b1"], 2), (big, 8)], key=repr)
+
+
 @pytest.mark.parametrize("bound", [100, 0])
 def test_betweenness(spark, bound):
     e = spark.createDataFrame([*DIAMOND, ("d", "e")], "source string, target string")
