@@ -169,8 +169,9 @@ UNION SELECT 'orphaned', domain, path, NULL, 0 FROM m WHERE path NOT IN (SELECT
 k AS (SELECT *, regexp_matches(list_extract(string_split(path, '/'), -1), '{coverage.HIGH_VALUE}') AS high FROM u) SELECT DISTINCT kind, domain, path, {_SEV} AS severity FROM k""")
 def specification_drift(spark, d):
     h = table(spark, d, "file_hashes")
-    added = F.col("first_seen_at") >= F.lit(_CUT).cast("timestamp")
-    c = h.where(F.col("removed_at").isNotNull() | added | (F.col("updated_at") % 3 == 0)).select(
+    since = F.lit(_CUT).cast("timestamp")
+    added = F.col("first_seen_at") >= since
+    c = h.where(F.col("removed_at").isNotNull() | added | (F.col("updated_at") >= F.unix_millis(since))).select(
         F.col("file_path").alias("path"), F.when(F.col("removed_at").isNotNull(), "deleted").when(added, "added").otherwise("modified").alias("status"), F.lit(None).cast("string").alias("old_path"), F.length("file_path").alias("n_changes")
     )
     m = table(spark, d, "nodes").where("is_external = 0 and file_path is not null").select(F.try_element_at(F.split("file_path", "/"), F.lit(4)).alias("domain"), F.col("file_path").alias("path"))

@@ -54,3 +54,15 @@ def test_rank_within_and_insertion_points(spark):
     assert rank_within(df.limit(0), ["k"], [F.asc("i")], "n").collect() == []
     c = spark.createDataFrame([(1, 1, 0.5, 9, 9, False, True), (1, 1, 0.5, 9, 9, False, True), (2, 1, 1.0, 0, 0, False, False), (3, 1, None, 3, 0, True, False), (4, None, 1.0, 2, 6, None, None)], "candidate_id long, request_id long, semantic_score double, fan_in int, fan_out int, is_hub boolean, is_entry_point boolean")
     assert rows(insertion_points(c).select("candidate_id", "role", "composite", "rank")) == [(1, "entry_point", 0.7, 2), (2, "utility", 0.72, 1), (3, "hub", 0.24, 3), (4, "orchestrator", 0.92, 1)]
+
+
+def test_drift_takes_files_updated_since_the_cut(spark, tmp_path):
+    from strandwork.plans import source_queries
+
+    at = 1734307200000  # 2024-12-16
+    h = [(f"a/b/c/auth/m{k}.ts", at + k, "2024-11-01 00:00:00", None) for k in range(3)] + [(f"a/b/c/auth/o{k}.ts", at - 5 * 86400000 + k, "2024-11-01 00:00:00", None) for k in range(3)]
+    df = spark.createDataFrame(h, "file_path string, updated_at long, first_seen_at string, removed_at string")
+    df.selectExpr("file_path", "updated_at", "cast(first_seen_at as timestamp) first_seen_at", "cast(removed_at as timestamp) removed_at").write.parquet(str(tmp_path / "file_hashes.parquet"))
+    spark.createDataFrame([(x[0], 0) for x in h], "file_path string, is_external int").write.parquet(str(tmp_path / "nodes.parquet"))
+    got = source_queries.specification_drift(spark, str(tmp_path)).collect()
+    assert {(r["kind"], r["path"]) for r in got} == {("gap", f"a/b/c/auth/m{k}.ts") for k in range(3)}
