@@ -8,36 +8,43 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
+_OWN_DIR: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests) and
+    an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
     app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="strandwork-")
-    return _OWN_DIR[app]
+    if (app, named) not in _OWN_DIR:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = named.rstrip("/") if named else tempfile.mkdtemp(prefix="strandwork-")
+        _OWN_DIR[app, named] = f"{base}/strandwork/{app}"
+        # whatever the queries of this application leave is deleted with it
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_OWN_DIR[app, named])
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _OWN_DIR[app, named]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandwork/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a table made by cut() that nothing will read again."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strandwork/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+def drop_cut(*dfs: DataFrame) -> None:
+    """Delete the files behind tables made by cut() that nothing will read again."""
+    for df in dfs:
+        sc = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/strandwork/" in name:
+                path = sc._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
