@@ -5,10 +5,11 @@ expires before the key's next event closes the session and emits its start, end
 machine; ``streaming/sessions.py`` runs it as a stateful stream operator with event-time timers, this module replays
 stored events through it in order.
 
-In a replay a key's events are cut into fixed slices of time, so a key with a third of all events is spread over as
-many tasks as it has slices: each slice runs its own timers, and the sessions whose timer is still running at a slice's
-end are joined to the next slice's first session by the same rule. Sessions closed inside a slice are final; only the
-first and the last of each slice, two rows per key and slice, are looked at again.
+In a replay a key's events are cut into slices of many gaps, so a key with a third of all events is spread over as many
+tasks as it has slices. Each slice runs its own timers up to the slice's end: a session whose timer expired by then, and
+that began more than a gap after the slice's start, is final. Only sessions within a gap of a slice's ends stay open;
+they are replayed as events of some length through the same timers over groups of slices, and what is open there over
+the whole key, so that no task ever holds all slices of a key.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.util import trim_all
+from strandwork.util import cut, trim_all
 
 GAP_US = 30 * 60 * 1_000_000
-SLICE_US = 30 * 60 * 1_000_000
+#: Length of a slice, twelve gaps, and number of slices in a group.
+SLICE_US = 6 * 60 * 60 * 1_000_000
+GROUP = 64
+
+_PARTS = "key string, piece long, start_us long, end_us long, counts array<long>, is_open boolean"
 
 
 class SessionTimers:
@@ -44,46 +49,67 @@ class SessionTimers:
         self.start, self.end, self.counts = None, 0, [0] * len(self.counts)
         return done
 
+    def take(self, start: int, end: int, counts):
+        """Take in a session that another machine left open; they come in order of start."""
+        done = self.expire(start)
+        self.end = end if self.start is None else max(self.end, end)
+        self.start = start if self.start is None else self.start
+        self.counts = [a + int(b) for a, b in zip(self.counts, counts)]
+        return done
+
     def at(self, ts: int, kind: int):
         """Take an event in. One that comes late extends its session backwards, or is a session by itself."""
         if self.start is not None and ts < self.start - self.gap:
             return ts, ts, [int(k == kind) for k in range(len(self.counts))]
         done = self.expire(ts)
+        self.end = ts if self.start is None else max(self.end, ts)
         self.start = ts if self.start is None else min(self.start, ts)
-        self.end = ts if done or self.end < ts else self.end
         if kind >= 0:
             self.counts[kind] += 1
         return done
 
 
-def _replay(gap: int, width: int):
+def _replay(gap: int, width: int, span: int | None):
+    """Run rows (key, piece, us, kind) or open sessions (key, piece, start_us, end_us, counts), in order, through the
+    timers of their piece, which covers span microseconds (all time if None)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         now: tuple = (None, None)
         timers = None
-        first = True
 
-        def emit(done, last):
-            nonlocal first
-            out.append((*now, done[0], done[1], done[2], first, last))
-            first = False
+        def emit(done, is_open):
+            early = span is not None and done[0] - now[1] * span <= gap
+            out.append((*now, done[0], done[1], done[2], early or is_open))
+
+        def finish():
+            # the timer runs on to the end of the piece; what is still open then may go on in the next one
+            done = None if span is None else timers.expire((now[1] + 1) * span)
+            if done is not None:
+                emit(done, False)
+            elif timers.start is not None:
+                emit(timers.close(), span is not None)
 
         for b in batches:
-            for key, piece, us, kind in zip(b.key.tolist(), b.piece.tolist(), b.us.tolist(), b.kind.tolist()):
+            events = "us" in b
+            rows = zip(b.key.tolist(), b.piece.tolist(), b.us.tolist(), b.kind.tolist()) if events else zip(
+                b.key.tolist(), b.piece.tolist(), b.start_us.tolist(), zip(b.end_us.tolist(), b.counts)
+            )
+            for key, piece, us, what in rows:
                 if (key, piece) != now:
                     if timers is not None:
-                        emit(timers.close(), True)
-                    now, first, timers = (key, piece), True, SessionTimers(gap, width)
-                done = timers.at(us, kind)
+                        finish()
+                    now, timers = (key, piece), SessionTimers(gap, width)
+                done = timers.at(us, what) if events else timers.take(us, *what)
                 if done is not None:
                     emit(done, False)
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["key", "piece", "start_us", "end_us", "counts", "is_first", "is_last"])
+                yield pd.DataFrame(out, columns=["key", "piece", "start_us", "end_us", "counts", "is_open"])
                 out = []
         if timers is not None:
-            emit(timers.close(), True)
+            finish()
         if out:
-            yield pd.DataFrame(out, columns=["key", "piece", "start_us", "end_us", "counts", "is_first", "is_last"])
+            yield pd.DataFrame(out, columns=["key", "piece", "start_us", "end_us", "counts", "is_open"])
 
     return run
 
@@ -95,21 +121,25 @@ def sessionize(events: DataFrame, key: Column, ts: Column, kind: Column, width:
     session open. A silence of exactly gap_us does not end a session. Rows with a null key or ts are left out; events
     at the same time belong to one session in any order; an empty table gives no sessions.
     """
+    final, rows = session_pieces(events, key, ts, kind, width, gap_us, slice_us)
+    last = rows.withColumn("piece", F.lit(0).cast("long")).repartition("key").sortWithinPartitions("key", "piece", "start_us")
+    out = last.mapInPandas(_replay(gap_us, width, None), _PARTS)
+    for f in final:
+        out = out.unionByName(f)
+    return out.select("key", "start_us", "end_us", "counts")
+
+
+def session_pieces(events: DataFrame, key: Column, ts: Column, kind: Column, width: int, gap_us: int, slice_us: int) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of sessions that a timer closed within a slice or a group of slices, sessions still open), see sessionize."""
     rows = events.select(key.alias("key"), F.unix_micros(ts.cast("timestamp")).alias("us"), F.coalesce(kind.cast("int"), F.lit(-1)).alias("kind"))
-    rows = rows.where("key is not null and us is not null").withColumn("piece", F.floor(F.col("us") / slice_us))
-    parts = (
-        rows.repartition("key", "piece")
-        .sortWithinPartitions("key", "piece", "us")
-        .mapInPandas(_replay(gap_us, width), "key string, piece long, start_us long, end_us long, counts array<long>, is_first boolean, is_last boolean")
-    )
-    edge = F.col("is_first") | F.col("is_last")
-    w = Window.partitionBy("key").orderBy("piece", "start_us")
-    fresh = F.lag("end_us").over(w).isNull() | (F.col("start_us") > F.lag("end_us").over(w) + gap_us)
-    chained = parts.where(edge).withColumn("fresh", fresh.cast("int")).withColumn("no", F.sum("fresh").over(w))
-    joined = chained.groupBy("key", "no").agg(
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), *[F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(width)]
-    ).select("key", "start_us", "end_us", F.array(*[f"c{k}" for k in range(width)]).alias("counts"))
-    return parts.where(~edge).select("key", "start_us", "end_us", "counts").unionByName(joined)
+    rows = rows.where("key is not null and us is not null").withColumn("piece", ((F.col("us") - F.pmod(F.col("us"), F.lit(slice_us))) / slice_us).cast("long"))
+    order, span, final = "us", slice_us, []
+    for _ in range(2):
+        parts = cut(rows.repartition("key", "piece").sortWithinPartitions("key", "piece", order).mapInPandas(_replay(gap_us, width, span), _PARTS))
+        final.append(parts.where("not is_open"))
+        rows = parts.where("is_open").withColumn("piece", F.floor(F.col("piece") / GROUP)).drop("is_open")
+        order, span = "start_us", span * GROUP
+    return final, rows
 
 
 LEASE_EVENTS = ("degraded", "stale", "depth_escalate", "orient_reset")
