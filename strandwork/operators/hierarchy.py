@@ -3,13 +3,20 @@
 Method: tree contraction. Each level first rakes the leaves (their answer follows from their parents'), then, within
 every partition, follows chains of single-parent nodes to the first node outside the partition's fragment. Only
 fragment exits and nodes with several parents go on to the smaller quotient, which is solved recursively; a quotient
-of at most ``max_local_edges`` edges is solved in one task. Answers then expand back level by level: a node's rows are
-its exit's rows, moved down by the length of the fragment path. Cycles show up locally (a chain that never leaves
-its fragment becomes a loop at one representative) or globally (strong components of the quotient).
-
-Cost: every level is a fixed number of shuffles over a geometrically shrinking edge set, so the work is linear in
-the edges plus the result. Rows are placed by a hash of the chain's head so that neighbouring single-parent nodes meet
-in one partition in every level, whatever the number of partitions.
+of at most ``max_local_edges`` edges is solved in one task, but every table is contracted at least once. Answers then
+expand back level by level: a node's rows are its exit's rows, moved down by the length of the fragment path. Cycles
+show up locally (a chain that never leaves its fragment becomes a loop at one representative) or globally (strong
+components of the quotient).
+
+Where that leaves more than half of the edges, nodes with several parents are taken out as well, if it adds no edges:
+such a node, none of whose neighbours goes at the same level, is replaced by an edge from each of its children to each
+of its parents. Three levels in a row that leave more than nine tenths (a dense quotient) are followed by a plain
+fixpoint over the rest.
+
+Cost: every level is a fixed number of shuffles over a shrinking edge set. Rows are placed by a hash of the chain's
+head so that neighbouring single-parent nodes meet in one partition in every level, whatever the number of partitions;
+children of a very wide parent stay in places of their own, so that no place grows with a parent's width. The nodes on
+a fragment path are carried along only where paths or all ancestors are asked for.
 """
 
 from __future__ import annotations
@@ -18,15 +25,18 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.util import cut, drop_cut
+from strandwork.util import cut, partitions
 
 #: Largest quotient, in edges, that one task solves.
-MAX_LOCAL_EDGES = 250_000
-#: Edges per partition while chains are contracted.
-ROWS_PER_PARTITION = 200_000
+MAX_LOCAL_EDGES = 2_000
+#: Edges per partition while chains are contracted, as long as there are no more partitions than shuffles have (or 64).
+ROWS_PER_PARTITION = 20_000
+#: Children that one parent may draw to its place; and at least 1/2000 of all edges, so that few parents are wider.
+WIDE = 10_000
 
 _SOLVED = "node string, target string, depth int, path array<string>, state int, scc string"
 
@@ -154,43 +164,70 @@ def _local_solver(every_ancestor: bool, paths: bool):
     return run
 
 
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each partition-local single-parent node with its fragment exit, the steps to it and the nodes between."""
-    up = {c: (p, int(w), list(v)) for b in batches for c, p, w, v in zip(b.child, b.parent, b.w, b.via)}
-    done: dict[str, tuple[str, int, list[str]]] = {}
-    for start in up:
-        trail: list[str] = []
-        at: dict[str, int] = {}
-        v = start
-        while v in up and v not in done and v not in at:
-            at[v] = len(trail)
-            trail.append(v)
-            v = up[v][0]
-        if v in at:
-            # a loop within the fragment: its smallest node stands for it and keeps an edge to itself
-            loop = trail[at[v] :]
-            k = loop.index(min(loop))
-            loop = loop[k:] + loop[:k]
-            rep = loop[0]
-            w, via = 0, []
-            for m in reversed(loop[1:]):
-                step, between = up[m][1], up[m][2]
-                w, via = w + step, ([*between, *([up[m][0]] if up[m][0] != rep else []), *via])
-                done[m] = (rep, w, via)
-            step, between = up[rep][1], up[rep][2]
-            done[rep] = (rep, w + step, [*between, *([loop[1], *via] if len(loop) > 1 else [])])
-            trail = trail[: at[v]]
-        for u in reversed(trail):
-            p, w, via = up[u]
-            if p in done and done[p][0] != p:
-                e, w2, via2 = done[p]
-                done[u] = (e, w + w2, [*via, p, *via2])
+def _chains(keep: bool):
+    """Each partition-local single-parent node with its fragment exit, the steps to it, the nodes between if kept, its
+    parent and the number of the partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        up = {c: (p, int(w), list(v)) for b in batches for c, p, w, v in zip(b.child, b.parent, b.w, b.via)}
+        done: dict[str, tuple[str, int, list[str]]] = {}
+        for start in up:
+            trail: list[str] = []
+            at: dict[str, int] = {}
+            v = start
+            while v in up and v not in done and v not in at:
+                at[v] = len(trail)
+                trail.append(v)
+                v = up[v][0]
+            if v in at:
+                # a loop within the fragment: its smallest node stands for it and keeps an edge to itself
+                loop = trail[at[v] :]
+                k = loop.index(min(loop))
+                loop = loop[k:] + loop[:k]
+                rep = loop[0]
+                w, via = 0, []
+                for m in reversed(loop[1:]):
+                    p, step, between = up[m]
+                    w, via = w + step, ([*between, *([p] if p != rep else []), *via] if keep else via)
+                    done[m] = (rep, w, via)
+                _, step, between = up[rep]
+                done[rep] = (rep, w + step, [*between, *([loop[1], *via] if len(loop) > 1 else [])] if keep else [])
+                trail = trail[: at[v]]
+            for u in reversed(trail):
+                p, w, via = up[u]
+                if p in done and done[p][0] != p:
+                    e, w2, via2 = done[p]
+                    done[u] = (e, w + w2, [*via, p, *via2] if keep else via)
+                else:
+                    done[u] = (p, w, via)
+        if done:
+            rows = [(v, e, w, via, up[v][0], part) for v, (e, w, via) in done.items()]
+            for i in range(0, len(rows), 20_000):
+                yield pd.DataFrame(rows[i : i + 20_000], columns=["v", "exit", "xw", "xvia", "up", "part"])
+
+    return run
+
+
+def _climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows (v, up, scc) of contracted nodes and marks (v, scc), up null: all nodes above a mark on its fragment."""
+    up: dict[str, str] = {}
+    marks: dict[str, str] = {}
+    for b in batches:
+        for v, p, scc in zip(b.v, b.up, b.scc):
+            if p is None:
+                marks[v] = scc
             else:
-                done[u] = (p, w, via)
-    if done:
-        rows = [(v, e, w, via) for v, (e, w, via) in done.items()]
-        for i in range(0, len(rows), 20_000):
-            yield pd.DataFrame(rows[i : i + 20_000], columns=["v", "exit", "xw", "xvia"])
+                up[v] = p
+    todo = list(marks)
+    while todo:
+        v = todo.pop()
+        p = up.get(v)
+        if p is not None and p in up and p not in marks:
+            marks[p] = marks[v]
+            todo.append(p)
+    if marks:
+        yield pd.DataFrame(list(marks.items()), columns=["node", "scc"])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -245,18 +282,17 @@ def _spread(edges: DataFrame, every: bool, paths: bool) -> tuple[DataFrame, Data
     return known, flags
 
 
-def _solve(edges: DataFrame, every: bool, paths: bool, bound: int, level: int, before: int | None) -> tuple[DataFrame, DataFrame]:
+def _solve(edges: DataFrame, every: bool | None, paths: bool, bound: int, level: int, stuck: int) -> tuple[DataFrame, DataFrame]:
     """(rows node, target, depth, path; flags node, state, scc) for the cut edge table."""
-    spark = edges.sparkSession
     n = edges.count()
-    if n <= bound:
+    if level and n <= bound:
         out = cut(edges.repartition(1).mapInPandas(_local_solver(every, paths), _SOLVED))
         rows = out.where("target is not null").select("node", "target", "depth", "path")
         return rows, out.where("state is not null").select("node", "state", "scc")
-    if before is not None and n > 0.97 * before:
+    if stuck == 3:
         return _spread(edges, every, paths)
 
-    none = F.array().cast("array<string>")
+    keep = bool(every or paths)
     parents = edges.select(F.col("parent").alias("child")).distinct()
     leaves = edges.join(parents, "child", "left_anti")
     inner = cut(edges.join(parents, "child", "left_semi"))
@@ -267,8 +303,12 @@ def _solve(edges: DataFrame, every: bool, paths: bool, bound: int, level: int, b
     )
     heads = lambda c: F.pmod(F.xxhash64(F.lit(level), F.col(c)), F.lit(4)) == 0
     chain = counts.where("n = 1").select("child", "parent", "w", "via")
-    key = F.when(~heads("child") & heads("parent"), F.col("parent")).otherwise(F.col("child"))
-    x = cut(chain.repartition(max(1, -(-n // ROWS_PER_PARTITION)), key).mapInPandas(_chains, "v string, exit string, xw int, xvia array<string>"))
+    # fewer than 2,000 parents are that wide, whatever n is
+    wide = chain.groupBy("parent").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(WIDE, n // 2000)).select("parent", F.lit(True).alias("wide"))
+    chain = chain.join(F.broadcast(wide), "parent", "left")
+    key = F.when(~heads("child") & heads("parent") & F.col("wide").isNull(), F.col("parent")).otherwise(F.col("child"))
+    placed = chain.repartition(max(1, min(-(-n // ROWS_PER_PARTITION), max(64, partitions(edges.sparkSession)))), key).select("child", "parent", "w", "via")
+    x = cut(placed.mapInPandas(_chains(keep), "v string, exit string, xw int, xvia array<string>, up string, part int"))
     kept = x.select(F.col("exit").alias("v")).distinct()
     gone = cut(x.join(kept, "v", "left_anti"))
     stay = x.join(kept, "v", "left_semi").select(F.col("v").alias("child"), F.col("exit").alias("parent"), F.col("xw").alias("w"), F.col("xvia").alias("via"))
@@ -277,33 +317,81 @@ def _solve(edges: DataFrame, every: bool, paths: bool, bound: int, level: int, b
         "child",
         F.coalesce("exit", "parent").alias("parent"),
         (F.col("w") + F.coalesce("xw", F.lit(0))).alias("w"),
-        F.when(F.col("exit").isNull(), F.col("via")).otherwise(F.concat("via", F.array("parent"), "xvia")).alias("via"),
+        F.when(F.col("exit").isNull(), F.col("via")).otherwise(F.concat("via", F.array("parent"), "xvia") if keep else F.col("via")).alias("via"),
     )
     raw = cut(stay.unionByName(moved))
-    quotient = cut(_least(raw))
-    rows, flags = _solve(quotient, every, paths, bound, level + 1, n)
-
-    # expand chains, then leaves: a row of the exit, moved down
-    rows, flags = cut(_between(raw, gone, rows) if every else rows), cut(flags)
-    scc = flags.where("state = 1").select("node", "scc")
-    looped = (
-        raw.join(scc.select(F.col("node").alias("child"), F.col("scc").alias("s1")), "child")
-        .join(scc.select(F.col("node").alias("parent"), F.col("scc").alias("s2")), "parent")
-        .where("s1 = s2")
-        .select(F.explode("via").alias("node"), F.col("s1").alias("scc"))
-        .distinct()
-    )
+    whole = cut(_least(raw))
+    left = whole.count()
+    # raking and chains halve most tables; where they do not, nodes with several parents go as well
+    quotient, taken, fill = _take_out(whole, keep, level) if left > max(bound, n // 2) else (whole, None, None)
+    if taken is not None:
+        left = quotient.count()
+    rows, flags = _solve(quotient, every, paths, bound, level + 1, stuck + 1 if left > 0.9 * n else 0)
+
+    # expand what was taken out, then chains, then leaves: a row of the exit, moved down
+    flags = cut(flags)
+    if taken is not None:
+        rows = _between(fill, taken.select(F.col("child").alias("v")).distinct(), rows) if every else rows
+        rows, flags = _lower(taken, cut(rows), flags, _mid_cycle(whole, taken, flags), edges, every, paths)
+        rows, flags = cut(rows), cut(flags)
+    rows = cut(_between(raw, x.select("v"), rows)) if every else rows
     lost = gone.select(F.col("v").alias("child"), F.col("exit").alias("parent"), F.col("xw").alias("w"), F.col("xvia").alias("via"))
-    rows, flags = _lower(lost, rows, flags, looped, edges, every, paths)
+    rows, flags = _lower(lost, rows, flags, _on_cycles(inner, gone, flags), edges, every, paths)
     rows, flags = cut(rows), cut(flags)
     rows, flags = _lower(leaves, rows, flags, None, edges, every, paths)
     return rows, flags
 
 
-def _between(raw: DataFrame, gone: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with the ancestors that lie between the ends of the quotient's edges."""
+def _on_cycles(inner: DataFrame, gone: DataFrame, flags: DataFrame) -> DataFrame:
+    """(node, scc): the contracted nodes on a cycle. One is if, at or below it on its fragment, a node of its exit's
+    strong component enters; fragments are climbed in the partitions they were contracted in."""
+    scc = flags.where("state = 1").select("node", "scc")
+    held = gone.join(scc.select(F.col("node").alias("exit"), "scc"), "exit").select("v", "up", "scc", "part")
+    marks = (
+        inner.select("child", F.col("parent").alias("v")).join(held.select("v", "part", F.col("scc").alias("s1")), "v")
+        .join(scc.select(F.col("node").alias("child"), F.col("scc").alias("s2")), "child").where("s1 = s2")
+        .select("v", F.lit(None).cast("string").alias("up"), F.col("s1").alias("scc"), "part").distinct()
+    )
+    return held.unionByName(marks).repartition("part").mapInPandas(_climb, "node string, scc string")
+
+
+def _take_out(whole: DataFrame, keep: bool, level: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(edges left, edges of the nodes taken out or None, the edges that replace them)."""
+    loops = whole.where("child = parent").select(F.col("child").alias("v"))
+    up = whole.groupBy(F.col("child").alias("v")).agg(F.count(F.lit(1)).alias("i"))
+    down = whole.groupBy(F.col("parent").alias("v")).agg(F.count(F.lit(1)).alias("o"))
+    able = up.join(down, "v").where("i > 1 and i * o <= i + o").join(loops, "v", "left_anti").select("v", F.xxhash64(F.lit(level), F.col("v")).alias("h"))
+    able = cut(able)
+    if able.isEmpty():
+        return whole, None, None
+    # of two neighbours the one with the smaller hash goes
+    pairs = whole.join(able.select(F.col("v").alias("child"), F.col("h").alias("h1")), "child").join(able.select(F.col("v").alias("parent"), F.col("h").alias("h2")), "parent")
+    beaten = pairs.select(F.when(F.struct("h1", "child") < F.struct("h2", "parent"), F.col("parent")).otherwise(F.col("child")).alias("v"))
+    out = cut(able.join(beaten, "v", "left_anti").select("v"))
+    taken = cut(whole.join(out.withColumnRenamed("v", "child"), "child", "left_semi"))
+    into = whole.join(out.withColumnRenamed("v", "parent"), "parent", "left_semi")
+    fill = into.join(taken.select(F.col("child").alias("parent"), F.col("parent").alias("p2"), F.col("w").alias("w2"), F.col("via").alias("via2")), "parent").select(
+        "child", F.col("p2").alias("parent"), (F.col("w") + F.col("w2")).alias("w"),
+        (F.concat("via", F.array("parent"), "via2") if keep else F.col("via")).alias("via"),
+    )
+    fill = cut(fill)
+    rest = whole.join(out.withColumnRenamed("v", "child"), "child", "left_anti").join(out.withColumnRenamed("v", "parent"), "parent", "left_anti")
+    return cut(_least(rest.unionByName(fill))), taken, fill
+
+
+def _mid_cycle(whole: DataFrame, taken: DataFrame, flags: DataFrame) -> DataFrame:
+    """(node, scc): nodes taken out that have a child and a parent in one strong component."""
+    scc = flags.where("state = 1").select("node", "scc")
+    above = taken.select(F.col("child").alias("v"), F.col("parent").alias("node")).join(scc, "node").select("v", "scc").distinct()
+    below = whole.select(F.col("parent").alias("v"), F.col("child").alias("node")).join(scc, "node").select("v", "scc").distinct()
+    return above.join(below, ["v", "scc"], "left_semi").select(F.col("v").alias("node"), "scc")
+
+
+def _between(raw: DataFrame, here: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the ancestors that lie between the ends of the quotient's edges: the nodes v of here, contracted ones and
+    those that stayed because another fragment ends there while an edge of their own fragment passes over them."""
     spots = F.transform("via", lambda x, i: F.struct(x.alias("t"), i.alias("i")))
-    inside = raw.select("child", "via", F.explode(spots).alias("s")).join(gone.select(F.col("v").alias("t")), F.col("s.t") == F.col("t"), "left_semi")
+    inside = raw.select("child", "via", F.explode(spots).alias("s")).join(here.select(F.col("v").alias("t")), F.col("s.t") == F.col("t"), "left_semi")
     inside = inside.select(
         "child", F.col("s.t").alias("t"), (F.col("s.i") + 1).cast("int").alias("w"), F.slice("via", 1, F.col("s.i") + 1).alias("up")
     )
@@ -375,7 +463,7 @@ def resolve_hierarchy(
         .distinct()
         .select("child", "parent", F.lit(1).alias("w"), none.alias("via"))
     )
-    return _solve(edges, every_ancestor, paths, max_local_edges, 0, None)
+    return _solve(edges, every_ancestor, paths, max_local_edges, 0, 0)
 
 
 def hierarchy_roots(links: DataFrame, max_local_edges: int = MAX_LOCAL_EDGES, **ids: str) -> DataFrame:
