@@ -1,149 +1,53 @@
 """Call graphs out of source files: functions, call sites and the resolution of calls to functions.
 
-Extraction lexes each file once, in Arrow batches, and gives two kinds of rows; everything after that is joins.
+Extraction scans each file once (scanner.py: TypeScript, JavaScript, Python, Go, Rust, Ruby, Java, C++, Swift), in Arrow batches, and gives two kinds of rows; everything after that is joins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.parsing import functions as find
-from strandwork.parsing.lexers import JAVA_WORDS, JS_WORDS, Lines, lex_go, lex_java, lex_js, lex_python
+from strandwork.operators.scanner import LANGUAGE, Lines, scan
 from strandwork.util import cut, partitions
 
-# Extensions and their lexers; words that look like a call's name and are none.
-_KINDS = {"ts": "js", "tsx": "js", "mts": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "python", "pyi": "python", "go": "go", "java": "java"}
-_NOT_CALLED = frozenset(JS_WORDS | JAVA_WORDS | {"print", "len", "make", "append", "panic", "String", "Number", "Boolean", "Object", "Array", "Promise"})
-
 SITES = (
     "kind string, file_path string, id string, name string, class_name string, is_async boolean, start_line int, end_line int, complexity int, caller_id string, callee_name string, callee_object string, line int, call_type string"
 )
 
 
-def _class_of(t, at: int, kind: str, match: dict[int, int], ends: set[int]) -> str | None:
-    """The class whose body holds a token, by the nearest class header before it whose brackets are still open; none for
-    what lies in a function's body."""
-    if kind == "go":
-        if at > 1 and t.kinds[at - 1] == ")":
-            i = at - 1
-            while i > 0 and t.kinds[i] != "(":
-                i -= 1
-            names = [t.texts[k] for k in range(i, at) if t.kinds[k] == "NAME"]
-            return names[-1] if names else None
-        return None
-    depth = 0
-    for i in range(at - 1, -1, -1):
-        k = t.kinds[i]
-        if k in ("}", "DEDENT"):
-            depth += 1
-        elif k in ("{", "INDENT"):
-            if depth:
-                depth -= 1
-                continue
-            if match.get(i) in ends:
-                return None
-            j = i - 1
-            while j >= 0 and t.kinds[j] not in ("{", "}", ";", "INDENT", "DEDENT") and (kind != "python" or t.kinds[j] != "NEWLINE" or j == i - 1):
-                if t.kinds[j] in ("class", "interface", "enum") and j + 1 < len(t.kinds) and t.kinds[j + 1] == "NAME":
-                    return t.texts[j + 1]
-                if t.kinds[j] in ("def", "function", "=>"):
-                    return None
-                j -= 1
-    return None
-
-
-_DECIDE = frozenset(["if", "for", "while", "case", "catch", "switch", "&&", "||", "??", "elif", "except", "and", "or", "with", "assert"])
+def _language(path: str) -> str | None:
+    return LANGUAGE.get(path.rsplit(".", 1)[-1].lower())
 
 
 def scan_file(path: str, text: str) -> list[tuple]:
     """Rows of SITES: 'function' for each function of the file, 'call' for each call inside one."""
-    got = _tokens(path, text)
-    if got is None:
+    lang = _language(path)
+    if lang is None:
         return []
-    kind, t, every = got
-    lines = Lines(text)
-    found = []
-    match, ends = find.pairs(t.kinds), {f[2] for f in every}
-    for name, first, last in every:
-        cls = _class_of(t, name, kind, match, ends)
-        own = f"{path}::{cls}.{t.texts[name]}" if cls else f"{path}::{t.texts[name]}"
-        is_async = any(t.texts[i] == "async" for i in range(max(0, first - 1), min(len(t.texts), name + 4)))
-        points = 1 + sum(t.kinds[i] in _DECIDE for i in range(name, last + 1))
-        end = t.starts[min(last, len(t.starts) - 1)]
-        row = ("function", path, own, t.texts[name], cls, is_async, lines.of(t.starts[first]), lines.of(end), points, None, None, None, lines.of(t.starts[name]), None)
-        found.append((name, last, own, row))
-    rows = [f[3] for f in found]
-    names = {f[0] for f in found}
-    # innermost: of the spans that hold a call the one that starts last
-    spans = sorted(found)
-    open_: list[tuple] = []
-    at = 0
-    for i in range(len(t.kinds) - 1):
-        while at < len(spans) and spans[at][0] <= i:
-            open_.append(spans[at])
-            at += 1
-        while open_ and open_[-1][1] < i:
-            open_.pop()
-        if t.kinds[i] != "NAME" or t.kinds[i + 1] != "(" or i in names or not open_ or t.texts[i] in _NOT_CALLED:
-            continue
-        before = t.kinds[i - 1] if i else ""
-        obj = t.texts[i - 2] if before in (".", "?.") and i > 1 and re.fullmatch(r"[\w$]+", t.texts[i - 2]) else None
-        call = "constructor" if before == "new" else "method" if before in (".", "?.") else "direct"
-        start = i - 2 if obj else i
-        if start and (t.texts[start - 1] == "await"):
-            call = "await"
-        rows.append(("call", path, None, None, None, None, None, None, None, open_[-1][2], t.texts[i], obj, lines.of(t.starts[i]), call))
+    got, lines = scan(text, lang), Lines(text)
+    ids = [f"{path}::{f.class_name}.{f.name}" if f.class_name else f"{path}::{f.name}" for f in got.functions]
+    rows: list[tuple] = [
+        ("function", path, i, f.name, f.class_name, f.is_async, lines.of(f.start), lines.of(max(f.start, f.end - 1)), f.complexity, None, None, None, lines.of(f.at), None)
+        for i, f in zip(ids, got.functions)
+    ]
+    rows += [("call", path, None, None, None, None, None, None, None, ids[k], name, obj, lines.of(at), kind) for k, name, obj, at, kind in got.calls]
     return rows
 
 
 UNITS = "file_id long, name string, class_name string, start_line int, end_line int, start long, code string"
 
 
-def _tokens(path: str, text: str):
-    """(kind, lexed, its functions) of a file, or None for a language without a lexer."""
-    kind = _KINDS.get(path.rsplit(".", 1)[-1].lower())
-    if kind is None:
-        return None
-    t = {"js": lex_js, "python": lex_python, "go": lex_go, "java": lex_java}[kind](text)
-    finder = {"js": find.js_functions, "python": find.python_functions, "go": find.go_functions, "java": find.java_functions}[kind]
-    every = []
-    try:
-        every.extend((f[0], f[1], min(f[2], len(t.kinds) - 1)) for f in finder(t))
-    except IndexError:
-        # a file that breaks off: what was found before counts
-        pass
-    return kind, t, every
-
-
 def _units(path: str, text: str) -> list[tuple]:
-    """(name, class_name, start_line, end_line, start, code) of each function, from its declaration (without export and
-    decorators) to the end of its body."""
-    got = _tokens(path, text)
-    if got is None:
+    """(name, class_name, start_line, end_line, start, code) of each function, from its declaration to the end of its body."""
+    lang = _language(path)
+    if lang is None:
         return []
-    kind, t, every = got
-    match, ends, lines = find.pairs(t.kinds), {f[2] for f in every}, Lines(text)
-    out = []
-    for name, first, last in every:
-        while kind == "js" and first < name and (t.texts[first] in ("export", "default", "declare") or t.kinds[first] == "@"):
-            if t.kinds[first] == "@":
-                first += 1
-                while first + 2 < name and t.kinds[first + 1] == ".":
-                    first += 2
-                if t.kinds[first + 1] == "(":
-                    first = match.get(first + 1, first)
-            first += 1
-        while last > name and t.kinds[last] in ("NEWLINE", "INDENT", "DEDENT", "EOF"):
-            last -= 1
-        first = min(first, name)
-        start, end = t.starts[first], t.starts[last] + len(t.texts[last])
-        out.append((t.texts[name], _class_of(t, name, kind, match, ends), lines.of(start), lines.of(max(start, end - 1)), start, text[start:end]))
-    return out
+    lines = Lines(text)
+    return [(f.name, f.class_name, lines.of(f.start), lines.of(max(f.start, f.end - 1)), f.start, text[f.start : f.end]) for f in scan(text, lang).functions]
 
 
 def function_units(files: DataFrame) -> DataFrame:

@@ -27,3 +27,36 @@ def test_call_graph(spark):
         ("deep", "src/b.ts::lonely", "direct", "name_only"), ("Reader.Read", "r.go::Reader.fill", "method", "name_only"), ("J.a", "J.java::J.b", "direct", "same_file"), ("J.a", "k.py::K.run", "method", "type_name"),
     }
     assert code_sites(files.limit(0)).collect() == []
+
+
+RUST = 'mod m { impl<T: Clone> Show for Deck<T> { pub async fn show(&self, s: &\'a str) -> String { helper(s); self.fill(1).await } fn fill(&self, n: u8) -> Vec<u8> { if n > 0 { Deck::make(n) } else { vec![] } } } }\nfn helper(s: &str) { println!("fill({})", s); let r = r#"helper(1)"#; }\n'
+RUBY = 'module Store\n  class Box < Base\n    def put(x)\n      return if x.nil?\n      items.each do |i|\n        check(i)\n      end\n      flush(x) # check(2)\n    end\n\n    def self.flush(y) = size(y)\n  end\nend\n\ndef check(z)\n  while z do\n    z = step(z)\n  end\nend\n'
+CPP = '#include "far.h"\nnamespace a {\nclass Ring : public Base {\n public:\n  Ring(int n) : size_(n) { reset(n); }\n  int at(int i) const noexcept override { return data_.get(i) + sizeof(int); }\n};\nvoid Ring::reset(int n) { if (n) { clear(n); } const char* s = "clear(1)"; }\nstatic int clear(int n) { return n; }\n}\n'
+SWIFT = 'extension Feed: Sync {\n  init(n: Int) { load(n) }\n  func load(_ n: Int) async throws -> [Int] {\n    guard n > 0 else { return [] }\n    return try await pull(n)\n  }\n}\nfunc pull(_ n: Int) -> [Int] { let s = "load(\\(n))"; return items.map { twice($0) } }\n'
+
+
+def test_other_languages():
+    from strandwork.operators.codegraph import scan_file
+
+    def read(path, text):
+        rows = scan_file(path, text)
+        return {r[2].split("::", 1)[1] for r in rows if r[0] == "function"}, {(r[9].split("::", 1)[1], r[10], r[11], r[13]) for r in rows if r[0] == "call"}
+
+    assert read("a.rs", RUST) == ({"Deck.show", "Deck.fill", "helper"}, {("Deck.show", "helper", None, "direct"), ("Deck.show", "fill", "self", "method"), ("Deck.fill", "make", "Deck", "method")})
+    fns, calls = read("a.rb", RUBY)
+    assert fns == {"Box.put", "Box.flush", "check"} and {("Box.put", "check", None, "direct"), ("Box.put", "flush", None, "direct"), ("Box.flush", "size", None, "direct"), ("check", "step", None, "direct")} == calls
+    assert read("a.cpp", CPP) == ({"Ring.Ring", "Ring.at", "Ring.reset", "clear"}, {("Ring.Ring", "reset", None, "direct"), ("Ring.at", "get", "data_", "method"), ("Ring.reset", "clear", None, "direct")})
+    assert read("a.swift", SWIFT) == ({"Feed.init", "Feed.load", "pull"}, {("Feed.init", "load", None, "direct"), ("Feed.load", "pull", None, "await"), ("pull", "twice", None, "direct")})
+
+
+def test_scanner_on_odd_texts():
+    from strandwork.operators.scanner import scan
+
+    for lang in ("js", "python", "go", "java", "rust", "ruby", "cpp", "swift"):
+        for text in ("", "}", ")]}", "function", "def", "def f(", "class", "{" * 2000, "`${`${a(1)}`}`", "﻿ x", "/*", '"', "'''", "end end end", "a" * 100_000):
+            scan(text, lang)
+    js = "const f = <T>(a: { b: T }): { c: T } => { return g(`x ${h(a, `${i(1)}`)} y`); };\nexport default class K<T> extends M {\n  private p = async (x) => x + this.q(x)\n  get v() { return /[/(]r(1)/.test(s(2)); }\n}\nconst o = { run() { return w(); }, go: () => z() };\nvoid (function () { return y(); })();\n"
+    got = scan(js, "js")
+    names = [(f.class_name, f.name) for f in got.functions]
+    assert names == [(None, "f"), ("K", "p"), ("K", "v"), (None, "run"), (None, "go")]
+    assert [(got.functions[c[0]].name, c[1]) for c in got.calls] == [("f", "g"), ("f", "h"), ("f", "i"), ("p", "q"), ("v", "test"), ("v", "s"), ("run", "w"), ("go", "z")]
