@@ -10,8 +10,8 @@ import re
 from dataclasses import dataclass
 
 from strandwork.llm.doctext import _DIRECTIVE
-from strandwork.parsing.functions import go_functions, java_functions, js_functions, python_functions
-from strandwork.parsing.lexers import Lexed, Lines
+from strandwork.llm.parsing.functions import go_functions, java_functions, js_functions, python_functions
+from strandwork.llm.parsing.lexers import Lexed, Lines
 
 @dataclass(frozen=True)
 class Found:

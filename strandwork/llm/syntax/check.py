@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from strandwork.parsing import lexers
+from strandwork.llm.parsing import lexers
 from strandwork.llm.syntax.grammars import grammar
 
 # The extensions and what they stand for (language, grammar).

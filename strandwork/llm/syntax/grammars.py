@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from strandwork.parsing.lexers import GO_WORDS, JAVA_WORDS, JS_WORDS, PY_WORDS
+from strandwork.llm.parsing.lexers import GO_WORDS, JAVA_WORDS, JS_WORDS, PY_WORDS
 from strandwork.llm.syntax.packrat import Grammar
 
 JSON = """
