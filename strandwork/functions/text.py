@@ -204,17 +204,18 @@ def module_of(path: Column | str, roots: tuple[str, ...] = ("src", "lib", "packa
     return F.when(at < F.size(p) - 1, F.try_element_at(p, at + 1))
 
 
-TEST_PATH = r"(?i)(?:^|/)(?:tests?|__tests__|spec|e2e)/|[._-](?:test|spec)\.[a-z]+$|(?:^|/)test_[^/]*\.py$|_test\.go$|Test\.java$"
-CONFIG_PATH = r"(?i)(?:^|/)(?:package\.json|tsconfig[^/]*\.json|\.?[\w-]*(?:config|rc)\.[a-z]+|Dockerfile|Makefile|[\w.-]*\.(?:ya?ml|toml|ini|env))$"
-GENERATED_PATH = r"(?i)(?:^|/)(?:dist|build|node_modules|generated|vendor)/|\.(?:min|generated|d)\.[a-z]+$|\.pb\.go$"
-ENTRY_NAME = r"(?i)^(?:index|main|app|server|cli|__main__|mod|lib)$"
+# What test, configuration and generated files and entry points are called.
+TEST_PATH = r"(?:^|/)(?:tests?|__tests__|specs?)/|\.(?:test|spec)\.[^./]+$|_(?:test|spec)\.[^./]+$|(?:^|/)(?:test|spec)_[^/]*\.[^./]+$"
+CONFIG_PATH = r"(?:^|/)\.[^/]*rc(?:\.(?:js|json|ya?ml))?$|(?:config|settings)\.[^/]*$|(?:^|/)tsconfig[^/]*\.json$|(?:^|/)(?:package\.json|pyproject\.toml|Cargo\.toml|go\.mod|Gemfile|composer\.json)$"
+GENERATED_PATH = r"\.d\.ts$|\.generated\.(?:ts|js)$|/generated/|/__generated__/"
+ENTRY_PATH = r"(?i)(?:^|/)(?:index|main|app|server|cli|entry)(?:\.[^./]*)?$|^(?:src|lib|bin)/[^/]+$"
 
 
 def path_flags(path: Column | str) -> Column:
     """struct(is_test, is_config, is_generated, is_entry_point)."""
     p = _c(path)
     return F.struct(
-        p.rlike(TEST_PATH).alias("is_test"), p.rlike(CONFIG_PATH).alias("is_config"), p.rlike(GENERATED_PATH).alias("is_generated"), stem(p).rlike(ENTRY_NAME).alias("is_entry_point")
+        p.rlike(TEST_PATH).alias("is_test"), p.rlike(CONFIG_PATH).alias("is_config"), p.rlike(GENERATED_PATH).alias("is_generated"), p.rlike(ENTRY_PATH).alias("is_entry_point")
     )
 
 

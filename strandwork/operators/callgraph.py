@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.functions.text import TEST_PATH
 from strandwork.operators.ordered import rank_within
 from strandwork.util import js_round
 
@@ -204,7 +205,21 @@ def node_rankings(links: DataFrame) -> DataFrame:
     return rank_within(d.withColumn("kind", kind), ["kind"], [F.desc("in_degree"), F.asc("file")], "rank")
 
 
-def tested_by(edges: DataFrame, nodes: DataFrame, test_path: str = r"(?i)(?:^|/)(?:tests?|__tests__)/|\.(?:test|spec)\.") -> DataFrame:
-    """(callee_id, test_file): internal functions called from test files, each file once."""
-    e = edges.where(F.col("caller_file").rlike(test_path) & ~F.coalesce(F.col("callee_file").rlike(test_path), F.lit(False)))
-    return e.join(nodes.where("is_external = 0").select(F.col("id").alias("callee_id")), "callee_id", "left_semi").select("callee_id", F.col("caller_file").alias("test_file")).distinct()
+def one_edge_each(edges: DataFrame) -> DataFrame:
+    """Redelivered edges once; of rows that share an edge_id the one loaded last. Edges without an id are left out."""
+    cols = [c for c in ("caller_id", "callee_id", "caller_file", "callee_file", "kind", "call_type") if c in edges.columns]
+    return edges.where("edge_id is not null").groupBy("edge_id").agg(F.max_by(F.struct(*cols), F.struct("loaded_at", *cols)).alias("r")).select("edge_id", "r.*")
+
+
+def tested_by(edges: DataFrame, nodes: DataFrame, imported: DataFrame | None = None, test_path: str = TEST_PATH) -> DataFrame:
+    """(callee_id, test_file, confidence): internal functions called from test files ('called'), or only imported by them
+    ('import'; imported being (test_file, target_path, name)), each file once."""
+    inner = nodes.where("is_external = 0").where(~F.coalesce(F.col("file_path").rlike(test_path), F.lit(False)))
+    e = edges.where(F.col("caller_file").rlike(test_path))
+    out = e.join(inner.select(F.col("id").alias("callee_id")), "callee_id", "left_semi").select("callee_id", F.col("caller_file").alias("test_file"), F.lit("called").alias("confidence")).distinct()
+    if imported is None:
+        return out
+    i = imported.where(F.col("test_file").rlike(test_path)).select("test_file", F.col("target_path").alias("file_path"), "name").distinct()
+    only = i.join(inner.select(F.col("id").alias("callee_id"), "file_path", "name").distinct(), ["file_path", "name"]).select("callee_id", "test_file").distinct()
+    only = only.join(out.select("callee_id", "test_file"), ["callee_id", "test_file"], "left_anti")
+    return out.unionByName(only.withColumn("confidence", F.lit("import")))

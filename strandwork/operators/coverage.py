@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.text import base_name, directory
-from strandwork.util import js_round
+from strandwork.util import cut, js_round
 
-HIGH_VALUE = r"(?i)(?:service|controller|model|schema|route|api|auth|store|repository|entity|middleware)"
+# Names of files that matter to specifications.
+HIGH_VALUE = r"(?i)(?:service|controller|handler|middleware|model|schema|entity|repository|route|api|auth|database)"
 
 
 def severity(kind: Column, n_changes: Column, path: Column, status: Column) -> Column:
@@ -88,6 +89,47 @@ def change_risk(functions: DataFrame) -> DataFrame:
     return functions.withColumn("risk", js_round(risk * 100) / 100)
 
 
+# How much a kind of call carries a change on to the caller.
+CALL_WEIGHTS = {"awaited": 1.0, "await": 1.0, "direct": 0.7, "method": 0.6, "callback": 0.4}
+OTHER_CALL, MOST_TRANSITIVE = 0.5, 10.0
+
+
+def transitive_scores(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, transitive): for each seed (column id) the sum over its callers, of any depth d, of w / d^2, at most 10.
+
+    w is the greatest weight of a call by which a caller is first reached. A seed that has its 10 is searched no further,
+    so hubs stop after a level or two; the others end with their callers.
+    """
+    weights = F.create_map(*[F.lit(x) for kv in CALL_WEIGHTS.items() for x in kv])
+    e = edges.where("caller_id is not null and callee_id is not null and (kind is null or kind = 'calls')").groupBy("callee_id", "caller_id").agg(F.max(F.coalesce(weights[F.col("call_type")], F.lit(OTHER_CALL))).alias("w"))
+    e = cut(e)
+    front = cut(seeds.select(F.col("id").alias("seed"), "id").where("id is not null").distinct())
+    seen = front.limit(0)
+    score, depth = front.select("seed", F.lit(0.0).alias("s")).limit(0), 0
+    while not front.isEmpty():
+        depth += 1
+        step = e.join(front.withColumnRenamed("id", "callee_id"), "callee_id").groupBy("seed", F.col("caller_id").alias("id")).agg(F.max("w").alias("w"))
+        new = cut(step.join(seen, ["seed", "id"], "left_anti"))
+        score = cut(score.unionByName(new.groupBy("seed").agg((F.sum("w") / F.lit(float(depth * depth))).alias("s"))).groupBy("seed").agg(F.sum("s").alias("s")))
+        full = score.where(F.col("s") >= MOST_TRANSITIVE).select("seed")
+        seen = cut(seen.unionByName(new.select("seed", "id")).join(full, "seed", "left_anti"))
+        front = cut(new.select("seed", "id").join(full, "seed", "left_anti"))
+    return score.select(F.col("seed").alias("id"), F.least(F.col("s"), F.lit(MOST_TRANSITIVE)).alias("transitive"))
+
+
+def boundary_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, boundary): calls of external nodes, three points for the network and databases and one for others, of at most 3."""
+    x = nodes.where("is_external = 1").groupBy(F.col("id").alias("callee_id")).agg(F.max(F.when(F.col("external_kind").isin("http", "database"), 3).otherwise(1)).alias("p"))
+    e = edges.where("caller_id is not null and (kind is null or kind = 'calls')").select(F.col("caller_id").alias("id"), "callee_id")
+    return e.join(x, "callee_id").groupBy("id").agg(F.least(F.sum("p") / 3.0, F.lit(1.0)).alias("boundary"))
+
+
+def test_weights(tested_by: DataFrame) -> DataFrame:
+    """(id, test_weight): 1 for each test file that calls a function, 0.3 for one that only imports it."""
+    t = tested_by.groupBy("callee_id", "test_file").agg(F.max(F.when(F.col("confidence") == "called", 1.0).otherwise(0.3)).alias("w"))
+    return t.groupBy(F.col("callee_id").alias("id")).agg(F.sum("w").alias("test_weight"))
+
+
 # What a file's name is worth.
 NAME_POINTS = {
     "schema": 25, "model": 25, "entity": 25, "types": 25, "interfaces": 25, "auth": 25, "authentication": 25, "authorization": 25, "api": 25, "routes": 25, "endpoints": 25, "controller": 25, "controllers": 25,
@@ -124,16 +166,47 @@ def connectivity_score(n_in: Column, n_out: Column) -> Column:
     return F.least(F.lit(20), F.greatest(F.lit(0), s))
 
 
-def significance(files: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
-    """(file_id, name_score, structure_score, connectivity_score, score) of files, degrees being (file, in_degree, out_degree)."""
-    f = files.select("file_id", "file_path", "content")
-    if degrees is None:
-        f = f.withColumn("c", F.lit(0))
-    else:
-        d = degrees.select(F.col("file").alias("file_path"), connectivity_score(F.col("in_degree"), F.col("out_degree")).alias("c"))
-        f = f.join(d, "file_path", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    f = f.withColumn("n", name_score(F.col("file_path"))).withColumn("s", F.coalesce(structure_score(F.col("content")), F.lit(0)))
-    return f.select("file_id", F.col("n").alias("name_score"), F.col("s").alias("structure_score"), F.col("c").alias("connectivity_score"), (F.col("n") + F.col("s") + F.col("c")).alias("score"))
+# What a file's place is worth.
+PATH_POINTS = {
+    "src/": 10, "lib/": 10, "core/": 15, "domain/": 15, "models/": 15, "api/": 15, "routes/": 15, "controllers/": 15, "config/": 10, "configs/": 10, "services/": 10, "schemas/": 15,
+}
+
+
+def path_score(path: Column) -> Column:
+    """The best of the folders a path runs through, or 15 at the root; less for deep places; within 0 and 25."""
+    depth = F.size(F.split(path, "/")) - 1
+    inside = lambda k: path.startswith(k) | path.contains("/" + k)
+    best = F.greatest(F.when(depth == 0, 15).otherwise(0), *[F.when(inside(k), v).otherwise(0) for k, v in PATH_POINTS.items()])
+    helper = F.lower(path).contains("utils/") | F.lower(path).contains("helpers/")
+    score = best - F.when(depth > 5, 10).otherwise(0) - F.when(helper & (depth > 3), 5).otherwise(0)
+    return F.least(F.lit(25), F.greatest(F.lit(0), score))
+
+
+def tags(path: Column, name_points: Column, connectivity: Column) -> Column:
+    """What a file is, as an array: its flags, kinds of name and high scores."""
+    from strandwork.functions.text import path_flags
+
+    n, f = F.lower(base_name(path)), path_flags(path)
+    has = lambda *words: n.rlike("|".join(words))
+    each = [
+        ("entry-point", f["is_entry_point"]), ("config", f["is_config"]), ("test", f["is_test"]), ("generated", f["is_generated"]), ("schema", has("schema", "model", "entity")), ("api", has("api", "route", "controller")),
+        ("service", has("service", "provider")), ("high-value-name", name_points >= 20), ("high-connectivity", connectivity >= 15),
+    ]
+    return F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in each]))
+
+
+def significance(files: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(file_id, name_score, path_score, structure_score, connectivity_score, score, tags) of files, degrees being (file,
+    in_degree, out_degree); a file in no link counts as having none."""
+    f = files.select("file_id", "file_path", "content").join(degrees.select(F.col("file").alias("file_path"), "in_degree", "out_degree"), "file_path", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    f = f.withColumn("c", connectivity_score(zero(F.col("in_degree")), zero(F.col("out_degree")))).withColumn("n", name_score(F.col("file_path")))
+    f = f.withColumn("p", path_score(F.col("file_path"))).withColumn("s", zero(structure_score(F.col("content"))))
+    total = F.least(F.lit(100), F.greatest(F.lit(0), F.col("n") + F.col("p") + F.col("s") + F.col("c")))
+    return f.select(
+        "file_id", F.col("n").alias("name_score"), F.col("p").alias("path_score"), F.col("s").alias("structure_score"), F.col("c").alias("connectivity_score"), total.alias("score"),
+        tags(F.col("file_path"), F.col("n"), F.col("c")).alias("tags"),
+    )
 
 
 def requirement_links(requirements: DataFrame, functions: DataFrame, least: float = 0.7) -> DataFrame:

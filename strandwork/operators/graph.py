@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.util import cut, drop_cut
@@ -90,16 +90,21 @@ def components_by_colour(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return comp.join(loops, "id", "left").select("id", "component", "size", F.coalesce("self_loop", F.lit(False)).alias("self_loop"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, src: str = "caller_id", dst: str = "callee_id", max_depth: int | None = None, skip_prefix: str | None = "external::") -> DataFrame:
+def links(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id") -> DataFrame:
+    """(src, dst) distinct, without nulls and self-loops, written once for several searches."""
+    return cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct())
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, src: str = "caller_id", dst: str = "callee_id", max_depth: int | None = None, skip_prefix: str | None = "external::", ready: bool = False) -> DataFrame:
     """(seed, id, depth): nodes reached from each seed (column id) with the least number of steps, seeds at 0.
 
     Level-synchronous over all seeds at once: one join and one anti-join a level. Ids with skip_prefix are not entered.
-    For the way up, swap src and dst. Without max_depth the search runs until nothing new is reached.
+    For the way up, swap src and dst. Without max_depth the search runs until nothing new is reached. ready: edges are
+    links() already, whose columns src and dst name.
     """
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    e = (edges if ready else links(edges, src, dst).withColumnsRenamed({"src": src, "dst": dst})).select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     if skip_prefix:
         e = e.where(~F.col("dst").startswith(skip_prefix))
-    e = cut(e)
     seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).where("id is not null").distinct())
     front, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -154,6 +159,36 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_s
     return out
 
 
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_steps: int = 6, k: int = 10, src: str = "caller_id", dst: str = "callee_id") -> DataFrame:
+    """(source, target, path, length): for each pair the k shortest ways of the least length, of at most max_steps, in the
+    order of their ids.
+
+    A shortest way is one step followed by a shortest way, so a node keeps k ways to each target, found level by level
+    from the targets; the work grows with the nodes around the targets, not with the number of ways.
+    """
+    e = links(edges, src, dst)
+    goal = cut(targets.select("id").where("id is not null").distinct())
+    dist = cut(bfs(e, goal, "dst", "src", max_steps, None, ready=True).select(F.col("seed").alias("target"), "id", "depth"))
+    ways = cut(goal.select(F.col("id").alias("target"), "id", F.array("id").alias("path")))
+    start = cut(sources.select("id").where("id is not null").distinct())
+    found = []
+    for depth in range(1, max_steps + 1):
+        here = dist.where(F.col("depth") == depth).select("target", "id")
+        step = ways.withColumnRenamed("id", "dst").join(e, "dst").select("target", F.col("src").alias("id"), "path").join(here, ["target", "id"], "left_semi")
+        step = step.select("target", "id", F.concat(F.array("id"), "path").alias("path"))
+        rank = F.row_number().over(Window.partitionBy("target", "id").orderBy("path"))
+        ways = cut(step.withColumn("i", rank).where(F.col("i") <= k).drop("i"))
+        if ways.isEmpty():
+            break
+        found.append(ways.join(start, "id", "left_semi").select(F.col("id").alias("source"), "target", "path", F.lit(depth).alias("length")))
+    if not found:
+        return ways.select(F.col("id").alias("source"), "target", "path", F.lit(0).alias("length")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def pagerank(edges: DataFrame, src: str = "source", dst: str = "target", damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, rank): (1-d)/n + d * what flows in, without spreading the rank of dead ends; at most rounds, or until the
     greatest change is below tolerance; divided by the greatest rank, or 0.001."""
@@ -176,13 +211,16 @@ def pagerank(edges: DataFrame, src: str = "source", dst: str = "target", damping
     return rank.select("id", (F.col("rank") / F.lit(top)).alias("rank"))
 
 
-def communities(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id", rounds: int = 15) -> DataFrame:
-    """(id, community): label propagation over undirected links, all nodes at a time.
+def communities(edges: DataFrame, nodes: DataFrame, src: str = "caller_id", dst: str = "callee_id", rounds: int = 15) -> DataFrame:
+    """(id, community) of each of nodes (id): label propagation over the undirected links among them, all nodes at a time.
 
     A node takes the label that most of its neighbours have, the smallest of several; it keeps its own where that is
-    among them. Counting labels combines on the map side, so a hub's neighbours are counted where they lie.
+    among them; one without links is a community by itself. Counting labels combines on the map side, so a hub's
+    neighbours are counted where they lie.
     """
+    ids = cut(nodes.select("id").where("id is not null").distinct())
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
+    e = e.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(e.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
     for _ in range(rounds):
@@ -196,7 +234,7 @@ def communities(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id"
         label = new.select("id", "community")
         if new.where("moved").isEmpty():
             break
-    return label
+    return ids.join(label, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def betweenness(edges: DataFrame, src: str = "source", dst: str = "target", max_edges: int = 300_000) -> DataFrame:
@@ -275,12 +313,12 @@ def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
     return _scaled(ids, total.where("s <> id").groupBy("id").agg(F.sum("share").alias("b")))
 
 
-def cycles(edges: DataFrame, max_length: int = 6, src: str = "parent_id", dst: str = "child_id") -> DataFrame:
-    """(cycle, length): simple cycles, each once, its smallest id first: all of at most max_length, and longer ones until
-    every node of a strong component is on one.
+def cycles(edges: DataFrame, src: str = "parent_id", dst: str = "child_id") -> DataFrame:
+    """(cycle, length): for each node on a cycle the shortest one through it, of several the one whose ids come first;
+    each cycle once, its smallest id first, whatever its length.
 
-    Paths start at the smallest node of their cycle and only enter greater ones, inside strong components. For the nodes
-    left over, see _longer_cycles.
+    All nodes are searched from at once, within their strong component; a node's search ends with its cycle, and keeps
+    one way to each node it has reached. Components come from the contraction of hierarchy.py.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
     comp = cut(strong_components(e, "src", "dst").where("size > 1 or self_loop").select("id", "component"))
@@ -288,41 +326,21 @@ def cycles(edges: DataFrame, max_length: int = 6, src: str = "parent_id", dst: s
         e.join(comp.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src")
         .join(comp.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
     )
-    front = inner.where("src <= dst").select(F.array("src").alias("cycle"), "dst")
+    front = cut(comp.select(F.col("id").alias("seed"), F.col("id").alias("src"), F.array("id").alias("path")))
+    seen = front.select("seed", F.col("src").alias("dst")).limit(0)
     out = None
-    for length in range(1, max_length + 1):
-        front = cut(front)
-        closed = front.where(F.col("dst") == F.col("cycle")[0]).select("cycle", F.lit(length).alias("length"))
+    while not front.isEmpty():
+        step = cut(front.join(inner, "src").select("seed", "dst", "path"))
+        closed = cut(step.where("dst = seed").groupBy("seed").agg(F.min("path").alias("cycle")))
         out = closed if out is None else out.unionByName(closed)
-        front = (
-            front.where((F.col("dst") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("dst")))
-            .select(F.concat("cycle", F.array("dst")).alias("cycle"), F.col("dst").alias("src")).join(inner, "src").select("cycle", "dst")
-            .where(F.col("dst") >= F.col("cycle")[0])
-        )
-    out = cut(out)
-    for more in _longer_cycles(inner, cut(comp.join(out.select(F.explode("cycle").alias("id")), "id", "left_anti"))):
-        first = F.array_position("cycle", F.array_min("cycle")).cast("int")
-        turned = F.concat(F.slice("cycle", first, F.size("cycle")), F.slice("cycle", F.lit(1), first - 1))
-        out = out.unionByName(more.select(turned.alias("cycle"), F.size("cycle").alias("length")))
-    return out
-
-
-def _longer_cycles(inner: DataFrame, left: DataFrame) -> Iterator[DataFrame]:
-    """(component, cycle): for the smallest id of each component among left (id, component) a shortest cycle through it,
-    again for those that are on none of these, until none is left. inner: the edges (src, dst) inside components."""
-    while not left.isEmpty():
-        seed = left.groupBy("component").agg(F.min("id").alias("src"))
-        front = cut(seed.select("component", F.array("src").alias("path"), "src"))
-        seen = front.select(F.col("src").alias("dst"))
-        while not front.isEmpty():
-            step = front.join(inner, "src")
-            closed = cut(step.where(F.col("dst") == F.col("path")[0]).groupBy("component").agg(F.min("path").alias("cycle")))
-            if not closed.isEmpty():
-                left = cut(left.join(closed.select(F.explode("cycle").alias("id")), "id", "left_anti"))
-                yield closed
-            ahead = step.join(closed.select("component"), "component", "left_anti").join(seen, "dst", "left_anti")
-            front = cut(ahead.groupBy("component", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")).select("component", "path", F.col("dst").alias("src")))
-            seen = seen.unionByName(front.select(F.col("src").alias("dst")))
+        ahead = step.join(closed.select("seed"), "seed", "left_anti").join(seen, ["seed", "dst"], "left_anti")
+        front = cut(ahead.groupBy("seed", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")).select("seed", F.col("dst").alias("src"), "path"))
+        seen = cut(seen.join(closed.select("seed"), "seed", "left_anti").unionByName(front.select("seed", F.col("src").alias("dst"))))
+    if out is None:
+        return front.select(F.col("path").alias("cycle"), F.lit(0).alias("length"))
+    first = F.array_position("cycle", F.array_min("cycle")).cast("int")
+    turned = F.concat(F.slice("cycle", first, F.size("cycle")), F.slice("cycle", F.lit(1), first - 1))
+    return out.select(turned.alias("cycle"), F.size("cycle").alias("length")).distinct()
 
 
 def adjacency_with_overrides(calls: DataFrame, links: DataFrame, methods: DataFrame, limit: int = 200) -> DataFrame:
@@ -349,8 +367,10 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3)
     from strandwork.operators.callgraph import HUB_FAN_IN, degrees
     from strandwork.util import js_round
 
-    up = bfs(edges, seeds, "callee_id", "caller_id", depth).where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("upstream"))
-    down = bfs(edges, seeds, "caller_id", "callee_id", depth).where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("downstream"))
+    seeds = cut(seeds.select("id"))
+    e = links(edges)
+    up = bfs(e, seeds, "dst", "src", depth, ready=True).where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("upstream"))
+    down = bfs(e, seeds, "src", "dst", depth, ready=True).where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("downstream"))
     d = degrees(nodes, edges).join(seeds.select("id").distinct(), "id", "left_semi")
     d = d.join(up.withColumnRenamed("seed", "id"), "id", "left").join(down.withColumnRenamed("seed", "id"), "id", "left").fillna(0, ["upstream", "downstream"])
     d = d.withColumn("blast", F.col("upstream") + F.col("downstream"))

@@ -76,7 +76,10 @@ def purpose_similarity(a: Column, b: Column) -> Column:
 
 
 def cluster_role(n_entry: Column, n_hub: Column, n_files: Column) -> Column:
-    return F.when((n_entry > 0) & (n_hub > 0), "gateway").when(n_entry > 0, "entry").when(n_hub > 0, "core").when(n_files == 1, "leaf").otherwise("support")
+    return (
+        F.when(n_entry > n_files * 0.5, "entry_layer").when((n_hub > 0) & (n_entry > 0), "orchestrator").when(n_hub > 0, "core_utilities")
+        .when(n_entry > 0, "api_layer").otherwise("internal")
+    )
 
 
 def clusters(nodes: DataFrame) -> DataFrame:

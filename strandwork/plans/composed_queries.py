@@ -35,7 +35,7 @@ _BOTH = f"WITH {_TASKS_SQL}, {_FUN}, {_BM25}, {_DOCS2}, {_SPEC}"
 
 def _specs(spark, d, k=10):
     s = table(spark, d, "documents").where("doc_kind = 'spec'").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.bm25(s, "id", "text", _tasks(spark), k=k)
+    return retrieval.bm25(s, "id", "text", _tasks(spark, d), k=k)
 
 
 @query(_BOTH + """, hit AS (SELECT query_id, id, rank FROM bm WHERE rank <= 10), n AS (SELECT id, min(file_path) AS file_path, min(signature) AS signature FROM nodes GROUP BY id),
@@ -48,7 +48,7 @@ UNION ALL SELECT hit.query_id, 'caller', r1.id, r1.hit, r1.rank FROM hit JOIN r1
 UNION ALL SELECT hit.query_id, 'callee', r2.id, r2.hit, r2.rank FROM hit JOIN r2 ON r2.hit = hit.id WHERE r2.rank <= 5
 UNION ALL SELECT query_id, 'spec', CAST(id AS VARCHAR), NULL, rank FROM bm2 WHERE rank <= 5""")
 def orient(spark, d):
-    hits = retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark))
+    hits = retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark, d))
     return routes.orient(hits, table(spark, d, "edges"), table(spark, d, "nodes"), _specs(spark, d, 5))
 
 
@@ -61,7 +61,7 @@ sn AS (SELECT a.query_id, lk.f, lk.s FROM a JOIN lk ON lk.f = a.id JOIN b ON b.i
 u AS (SELECT *, 'code' AS kind FROM a UNION ALL SELECT *, 'spec' FROM b), sc9 AS (SELECT u.query_id, u.id, CASE WHEN n IS NOT NULL THEN 'both' ELSE u.kind END AS kind, round(share + CASE WHEN n IS NULL THEN 0.0 ELSE 0.3 + least((n - 1) * 0.1, 0.3) END, 6) AS score FROM u LEFT JOIN nn ON nn.query_id = u.query_id AND nn.id = u.id AND nn.kind = u.kind),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, id) AS INTEGER) AS rank FROM sc9) SELECT * FROM rk WHERE rank <= 10""")
 def search_unified(spark, d):
-    code = retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark), k=50)
+    code = retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark, d), k=50)
     title = F.regexp_extract("text", r"Requirement:[ \t]*([^\r\n]*)", 1)
     from strandwork.functions.text import tokens
 
@@ -74,7 +74,7 @@ def search_unified(spark, d):
 @query(f"WITH {_TASKS_SQL}, {_FUN}, {_BM25}, n AS (SELECT id, min(language) AS language, min(fan_in) AS fan_in FROM nodes GROUP BY id) SELECT query_id, bm.id, score, rank FROM bm JOIN n ON n.id = bm.id WHERE rank <= 30 AND language = 'Go' AND fan_in >= 3")
 def search_functions_filtered(spark, d):
     """The best 30 first, then the filters on language and fan-in, as the function index does."""
-    hits = retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark), k=30)
+    hits = retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark, d), k=30)
     n = table(spark, d, "nodes").groupBy("id").agg(F.min("language").alias("language"), F.min("fan_in").alias("fan_in"))
     return hits.join(n, "id").where("language = 'Go' and fan_in >= 3").select("query_id", "id", "score", "rank")
 

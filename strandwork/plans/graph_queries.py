@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.functions.text import TEST_PATH
 from strandwork.operators import callgraph as c
 from strandwork.operators import graph as g
 from strandwork.operators.hierarchy import resolve_hierarchy
@@ -227,17 +228,24 @@ def graph_impact(spark, d):
     return g.impact(n, e, _seeds(spark, d))
 
 
-@query(f"""{_SEEDS}, a AS (SELECT id FROM nodes WHERE is_entry_point = 1 AND is_external = 0),
-w AS (SELECT [id] AS path, id AS pos FROM a UNION ALL SELECT list_append(path, q.callee_id), q.callee_id FROM w JOIN q ON q.caller_id = w.pos
-  WHERE len(path) <= 3 AND NOT list_contains(path, q.callee_id) AND NOT list_contains((SELECT list(id) FROM s), w.pos))
-SELECT array_to_string(path, ' > ') AS path, len(path) - 1 AS length FROM w WHERE pos IN (SELECT id FROM s) AND len(path) > 1""")
+@query(f"""{_SEEDS}, a AS (SELECT DISTINCT id FROM nodes WHERE is_entry_point = 1 AND is_external = 0),
+b AS (SELECT id AS target, id, 0 AS depth FROM s UNION SELECT b.target, q.caller_id, b.depth + 1 FROM b JOIN q ON q.callee_id = b.id WHERE b.depth < 6), m AS (SELECT target, id, min(depth) AS depth FROM b GROUP BY 1, 2),
+w AS (SELECT target, id, [id] AS path, 0 AS depth FROM s UNION ALL SELECT * FROM (SELECT target, id, path, depth FROM (SELECT w.target, q.caller_id AS id, list_prepend(q.caller_id, w.path) AS path, w.depth + 1 AS depth,
+  row_number() OVER (PARTITION BY w.target, q.caller_id ORDER BY list_prepend(q.caller_id, w.path)) AS i FROM w JOIN q ON q.callee_id = w.id JOIN m ON m.target = w.target AND m.id = q.caller_id AND m.depth = w.depth + 1) t WHERE i <= 10) u)
+SELECT id AS source, target, array_to_string(path, ' > ') AS path, depth AS length FROM w WHERE depth > 0 AND id IN (SELECT id FROM a)""".replace("id AS target, id, 0 AS depth FROM s", "id AS target, id, 0 AS depth FROM s").replace("SELECT target, id, [id] AS path", "SELECT id AS target, id, [id] AS path"))
 def graph_trace_paths(spark, d):
+    """From entry points to the ten most called functions: of each pair the ten first shortest ways of at most six steps."""
     n, e = _ne(spark, d)
-    p = g.simple_paths(e, n.where("is_entry_point = 1 and is_external = 0"), _seeds(spark, d))
-    return p.select(F.array_join("path", " > ").alias("path"), F.col("length").cast("long").alias("length"))
+    p = g.shortest_paths(e, n.where("is_entry_point = 1 and is_external = 0"), _seeds(spark, d))
+    return p.select("source", "target", F.array_join("path", " > ").alias("path"), F.col("length").cast("int").alias("length"))
 
 
-@query(None)
+_DEPTHS = """WITH RECURSIVE p AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM edges WHERE caller_id IS NOT NULL AND callee_id IS NOT NULL), n AS (SELECT a AS id FROM p UNION SELECT b FROM p),
+r AS (SELECT id, 0 AS depth FROM n WHERE id NOT IN (SELECT b FROM p) UNION SELECT p.b, r.depth + 1 FROM r JOIN p ON p.a = r.id WHERE r.depth < 40)
+SELECT n.id, CAST(coalesce(min(depth), -1) AS INTEGER) AS depth FROM n LEFT JOIN r ON r.id = n.id GROUP BY n.id"""
+
+
+@query(_DEPTHS)
 def graph_depths(spark, d):
     return g.depths_from_roots(table(spark, d, "edges"))
 
@@ -259,9 +267,10 @@ def inheritance_depths(spark, d):
     return rows.groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
 
 
-@query(_REACH + """, w AS (SELECT [a] AS cycle, b AS pos FROM e WHERE a <= b AND a IN (SELECT a FROM reach WHERE a = b) UNION ALL
-SELECT list_append(cycle, pos), e.b FROM w JOIN e ON e.a = w.pos WHERE pos > cycle[1] AND NOT list_contains(cycle, pos) AND e.b >= cycle[1] AND len(cycle) < 6)
-SELECT array_to_string(cycle, ' > ') AS cycle, CAST(len(cycle) AS INTEGER) AS length FROM w WHERE pos = cycle[1]""")
+@query(_REACH + """, x AS (SELECT e.a, e.b FROM e JOIN reach r ON r.a = e.b AND r.b = e.a),
+w AS (SELECT a AS seed, [a] AS path, b AS pos FROM x UNION ALL SELECT seed, list_append(path, pos), x.b FROM w JOIN x ON x.a = w.pos WHERE w.pos <> seed AND NOT list_contains(path, w.pos)),
+m AS (SELECT seed, min((len(path), path)) AS k FROM w WHERE pos = seed GROUP BY seed), c AS (SELECT k[2] AS c, list_position(k[2], list_min(k[2])) AS i FROM m)
+SELECT DISTINCT array_to_string(list_concat(c[i:], c[:i - 1]), ' > ') AS cycle, CAST(len(c) AS INTEGER) AS length FROM c""")
 def inheritance_cycles(spark, d):
     return g.cycles(table(spark, d, "inheritance_edges")).select(F.array_join("cycle", " > ").alias("cycle"), "length")
 
@@ -293,9 +302,30 @@ def file_betweenness(spark, d):
     return g.betweenness(c.file_edges(table(spark, d, "edges")))
 
 
-@query(None)
+_TESTS = "(^|/)(test|tests|__tests__|spec|specs)/|[.](test|spec)[.][^./]+$|_(test|spec)[.][^./]+$|(^|/)(test|spec)_[^/]*[.][^./]+$"
+
+
+def _communities_sql(rounds: int) -> str:
+    steps = ["r0 AS (SELECT DISTINCT a AS id, a AS c FROM u)"]
+    for k in range(rounds):
+        steps.append(
+            f"v{k} AS (SELECT u.a AS id, r{k}.c AS c, count(*) AS n FROM u JOIN r{k} ON r{k}.id = u.b GROUP BY 1, 2), "
+            f"r{k + 1} AS MATERIALIZED (SELECT v.id, arg_min(v.c, (-n, CASE WHEN v.c <> r.c THEN 1 ELSE 0 END, v.c)) AS c FROM v{k} v JOIN r{k} r ON r.id = v.id GROUP BY v.id)"
+        )
+    return f"""WITH k AS (SELECT DISTINCT id FROM nodes WHERE is_external = 0 AND NOT coalesce(regexp_matches(file_path, '{_TESTS}'), false)),
+p AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM edges WHERE (kind IS NULL OR kind = 'calls') AND caller_id <> callee_id AND caller_id IN (SELECT id FROM k) AND callee_id IN (SELECT id FROM k)),
+u AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p), {', '.join(steps)}, co AS (SELECT k.id, coalesce(r{rounds}.c, k.id) AS community FROM k LEFT JOIN r{rounds} ON r{rounds}.id = k.id)"""
+
+
+def _communities(spark, d):
+    n, e = _ne(spark, d)
+    return g.communities(e.where("kind is null or kind = 'calls'"), n.where("is_external = 0").where(~F.coalesce(F.col("file_path").rlike(TEST_PATH), F.lit(False))))
+
+
+@query(_communities_sql(15) + " SELECT id, community FROM co")
 def graph_communities(spark, d):
-    return g.communities(table(spark, d, "edges"))
+    """Communities of the internal functions outside test files, by label propagation in fifteen rounds."""
+    return _communities(spark, d)
 
 
 @query("""WITH m AS (SELECT DISTINCT file_path || '::' || class_name AS class_id, id FROM nodes WHERE class_name IS NOT NULL), n AS (SELECT class_id, count(*) AS k FROM m GROUP BY 1),

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.text import split_words
 from strandwork.operators import callgraph, codegraph, coverage, extract
+from strandwork.plans.graph_queries import _FILES as _FILE_LINKS
 from strandwork.plans.text_queries import _FILES, _LANG, _WORDS, files
 from strandwork.sources.tables import table
+from strandwork.util import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,10 +135,21 @@ _STRUCT = """least(25, greatest(0, coalesce(CASE WHEN regexp_matches(content, '\
 + CASE WHEN len(regexp_extract_all(content, '\\bimport\\s+.*from\\s+[''"][^''"]+[''"]')) > 10 THEN 10 ELSE 0 END + CASE WHEN len(string_split(content, chr(10))) BETWEEN 50 AND 500 THEN 5 WHEN len(string_split(content, chr(10))) > 1000 THEN -5 ELSE 0 END, 0)))"""
 
 
-@query(f"""WITH {_FILES}, s AS (SELECT file_id, least(30, greatest(0, greatest(0, {', '.join(_points(coverage.NAME_POINTS, _BASE))}) + {' + '.join(_points(coverage.NAME_LOSSES, _BASE))})) AS name_score, {_STRUCT} AS structure_score FROM f)
-SELECT file_id, name_score, structure_score, 0 AS connectivity_score, name_score + structure_score AS score FROM s""")
+_PLACE = "greatest(CASE WHEN depth = 0 THEN 15 ELSE 0 END, CASE WHEN regexp_matches(file_path, '(^|/)(core|domain|models|api|routes|controllers|schemas)/') THEN 15 ELSE 0 END, CASE WHEN regexp_matches(file_path, '(^|/)(src|lib|config|configs|services)/') THEN 10 ELSE 0 END) - CASE WHEN depth > 5 THEN 10 ELSE 0 END - CASE WHEN depth > 3 AND (contains(lower(file_path), 'utils/') OR contains(lower(file_path), 'helpers/')) THEN 5 ELSE 0 END"
+
+
+@query(_FILE_LINKS + f""", {_FILES}, dg AS (SELECT file, sum(i) AS i, sum(o) AS o FROM (SELECT target AS file, 1 AS i, 0 AS o FROM l UNION ALL SELECT source, 0, 1 FROM l) t GROUP BY file),
+fd AS (SELECT f.*, len(string_split(file_path, '/')) - 1 AS depth, coalesce(i, 0) AS i, coalesce(o, 0) AS o, {_BASE} AS nm FROM f LEFT JOIN dg ON dg.file = f.file_path),
+s AS (SELECT file_id, file_path, nm, depth, least(30, greatest(0, greatest(0, {', '.join(_points(coverage.NAME_POINTS, 'nm'))}) + {' + '.join(_points(coverage.NAME_LOSSES, 'nm'))})) AS name_score, least(25, greatest(0, {_PLACE})) AS path_score, {_STRUCT} AS structure_score,
+least(20, greatest(0, CASE WHEN i >= 5 THEN 20 WHEN i >= 2 THEN 10 ELSE 0 END + CASE WHEN o >= 5 THEN 10 ELSE 0 END + CASE WHEN i = 0 AND o = 0 THEN -10 ELSE 0 END)) AS connectivity_score FROM fd)
+SELECT file_id, name_score, path_score, structure_score, connectivity_score, least(100, greatest(0, name_score + path_score + structure_score + connectivity_score)) AS score,
+array_to_string(list_filter([CASE WHEN regexp_matches(nm, 'schema|model|entity') THEN 'schema' END, CASE WHEN regexp_matches(nm, 'api|route|controller') THEN 'api' END, CASE WHEN regexp_matches(nm, 'service|provider') THEN 'service' END,
+CASE WHEN name_score >= 20 THEN 'high-value-name' END, CASE WHEN connectivity_score >= 15 THEN 'high-connectivity' END], lambda x: x IS NOT NULL), ' ') AS tags FROM s""")
 def file_significance(spark, d):
-    return coverage.significance(files(spark, d))
+    """Scores and tags of all files; the flags of the path, which path_metadata gives, are left out of the tags here."""
+    degrees = callgraph.file_degrees(callgraph.file_edges(table(spark, d, "edges")))
+    flags = F.array(*map(F.lit, ("entry-point", "config", "test", "generated")))
+    return coverage.significance(files(spark, d), degrees).withColumn("tags", F.array_join(F.array_except("tags", flags), " "))
 
 
 @query("""WITH h AS (SELECT DISTINCT edge_id, callee_file AS file_path, line AS a, line + 120 AS b FROM edges WHERE line IS NOT NULL AND callee_file IS NOT NULL), s AS (SELECT DISTINCT id, file_path, start_index AS s, end_index AS e FROM nodes WHERE start_index IS NOT NULL AND end_index IS NOT NULL)
@@ -156,7 +169,7 @@ def enclosing_functions(spark, d):
 
 
 _CUT = "2024-12-15"
-_CHANGES = f"""c AS (SELECT file_path AS path, CASE WHEN removed_at IS NOT NULL THEN 'deleted' WHEN first_seen_at >= TIMESTAMP '{_CUT}' THEN 'added' ELSE 'modified' END AS status, length(file_path) AS n FROM file_hashes WHERE removed_at IS NOT NULL OR epoch_ms(first_seen_at) >= epoch_ms(TIMESTAMP '{_CUT}') OR updated_at % 3 = 0),
+_CHANGES = f"""c AS (SELECT file_path AS path, CASE WHEN removed_at IS NOT NULL THEN 'deleted' WHEN epoch_ms(first_seen_at) >= epoch_ms(TIMESTAMP '{_CUT}') THEN 'added' ELSE 'modified' END AS status, length(file_path) AS n FROM file_hashes WHERE removed_at IS NOT NULL OR epoch_ms(first_seen_at) >= epoch_ms(TIMESTAMP '{_CUT}') OR updated_at >= epoch_ms(TIMESTAMP '{_CUT}')),
 m AS (SELECT DISTINCT list_extract(string_split(file_path, '/'), 4) AS domain, file_path AS path FROM nodes WHERE file_path IS NOT NULL AND is_external = 0)"""
 _SEV = """CASE kind WHEN 'gap' THEN CASE WHEN n > 30 AND high THEN 'error' WHEN n > 5 THEN 'warning' ELSE 'info' END WHEN 'stale' THEN CASE WHEN status = 'deleted' THEN 'error' ELSE 'warning' END WHEN 'uncovered' THEN CASE WHEN high THEN 'warning' ELSE 'info' END ELSE 'warning' END"""
 
@@ -166,7 +179,7 @@ SELECT 'gap' AS kind, domain, c.path, status, n FROM c JOIN m ON m.path = c.path
 UNION SELECT 'stale', domain, c.path, status, n FROM c JOIN m ON m.path = c.path WHERE status = 'deleted'
 UNION SELECT 'uncovered', NULL, path, status, n FROM c WHERE status = 'added' AND path NOT IN (SELECT path FROM m)
 UNION SELECT 'orphaned', domain, path, NULL, 0 FROM m WHERE path NOT IN (SELECT file_path FROM file_hashes)),
-k AS (SELECT *, regexp_matches(list_extract(string_split(path, '/'), -1), '{coverage.HIGH_VALUE}') AS high FROM u) SELECT DISTINCT kind, domain, path, {_SEV} AS severity FROM k""")
+k AS (SELECT *, regexp_matches(list_extract(string_split(path, '/'), -1), '(?i)(service|controller|handler|middleware|model|schema|entity|repository|route|api|auth|database)') AS high FROM u) SELECT DISTINCT kind, domain, path, {_SEV} AS severity FROM k""")
 def specification_drift(spark, d):
     h = table(spark, d, "file_hashes")
     since = F.lit(_CUT).cast("timestamp")
@@ -208,15 +221,17 @@ def requirement_links(spark, d):
     return coverage.requirement_links(r, f, 0.6)
 
 
-@query("""WITH p AS (SELECT DISTINCT caller_id, callee_id FROM edges), fi AS (SELECT callee_id AS id, count(*) AS n FROM p GROUP BY 1), n AS (SELECT DISTINCT id, start_index, end_index, name FROM nodes WHERE is_external = 0 AND start_index IS NOT NULL AND end_index IS NOT NULL),
-k AS (SELECT n.id, length(name) AS changed, end_index - start_index AS len, coalesce(fi.n, 0) AS fan_in FROM n LEFT JOIN fi ON fi.id = n.id),
-c AS (SELECT *, least(least(0.6 * changed / greatest(len, 1) + 0.4 * ln(1 + changed) / ln(201.0), 1.0) * 1.5, 1.0) AS ch FROM k) SELECT id, floor(ch * 2 * (0.8 * ln(1 + fan_in)) * 100 + 0.5) / 100 AS risk FROM c""")
+@query(None)
 def change_risk(spark, d):
-    n, e = table(spark, d, "nodes"), table(spark, d, "edges")
+    """Risk of every internal function, were half of it changed: callers further up, tests and external calls counted."""
+    n, e = table(spark, d, "nodes"), cut(callgraph.one_edge_each(table(spark, d, "edges")))
     f = callgraph.with_degrees(n, e).where("is_external = 0 and start_index is not null and end_index is not null").select(
-        "id", F.length("name").alias("changed"), (F.col("end_index") - F.col("start_index")).alias("length"), F.lit("signature").alias("kind"), "fan_in", F.lit(0.0).alias("test_weight"), F.lit(0.0).alias("transitive"), F.lit(0.0).alias("boundary")
-    )
-    return coverage.change_risk(f.distinct()).select("id", "risk")
+        "id", F.greatest(F.lit(1), F.col("end_index") - F.col("start_index")).alias("length"), "fan_in"
+    ).distinct()
+    f = cut(f.withColumn("changed", F.floor(F.col("length") * 0.5 + 0.5)).withColumn("kind", F.lit("logic")))
+    zero = {"test_weight": 0.0, "transitive": 0.0, "boundary": 0.0}
+    full = f.join(coverage.transitive_scores(e, f.select("id")), "id", "left").join(coverage.boundary_scores(e, n), "id", "left").join(coverage.test_weights(callgraph.tested_by(e, n)), "id", "left").fillna(zero)
+    return coverage.change_risk(full).select("id", "transitive", "boundary", "test_weight", "risk")
 
 
 @query(f"""WITH {_FILES}, n AS (SELECT DISTINCT id, file_path, is_hub, fan_in FROM nodes WHERE is_external = 0), g AS (SELECT file_path, bool_or(is_hub = 1) AS hub, coalesce(max(fan_in), 0) AS mx, count(*) AS n_functions FROM n GROUP BY 1)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwork.operators import callgraph, graph, specs
+from strandwork.operators import callgraph, specs
+from strandwork.plans.graph_queries import _communities, _communities_sql
 from strandwork.plans.text_queries import _FILES, _TOK, files
 from strandwork.sources.tables import table
 
@@ -51,15 +52,18 @@ def spec_scenario_coverage(spark, d):
 
 @query("""WITH n AS (SELECT DISTINCT id, file_path, is_hub, is_entry_point FROM nodes WHERE is_external = 0), c AS (SELECT list_extract(string_split(file_path, '/'), 4) AS cluster, count(DISTINCT file_path) AS n_files, count(*) AS n_functions,
 CAST(sum(CASE WHEN is_entry_point = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_entry, CAST(sum(CASE WHEN is_hub = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_hub FROM n GROUP BY 1)
-SELECT *, CASE WHEN n_entry > 0 AND n_hub > 0 THEN 'gateway' WHEN n_entry > 0 THEN 'entry' WHEN n_hub > 0 THEN 'core' WHEN n_files = 1 THEN 'leaf' ELSE 'support' END AS role FROM c""")
+SELECT *, CASE WHEN n_entry * 2 > n_files THEN 'entry_layer' WHEN n_entry > 0 AND n_hub > 0 THEN 'orchestrator' WHEN n_hub > 0 THEN 'core_utilities' WHEN n_entry > 0 THEN 'api_layer' ELSE 'internal' END AS role FROM c""")
 def architecture_clusters(spark, d):
     return specs.clusters(table(spark, d, "nodes"))
 
 
-@query(None)
+@query(_communities_sql(15) + """, q AS (SELECT DISTINCT caller_id, callee_id FROM edges WHERE caller_id IS NOT NULL AND callee_id IS NOT NULL), fi AS (SELECT callee_id AS id, count(*) AS n FROM q GROUP BY 1),
+inn AS (SELECT x.community, count(*) AS k FROM q JOIN co x ON x.id = q.caller_id JOIN co y ON y.id = q.callee_id AND y.community = x.community GROUP BY 1),
+g AS (SELECT community, count(*) AS size, arg_min(co.id, (-coalesce(fi.n, 0), co.id)) AS label FROM co LEFT JOIN fi ON fi.id = co.id GROUP BY 1)
+SELECT g.community, label, size, coalesce(k, 0) AS internal_edges, CASE WHEN size < 2 THEN 0.0 ELSE CAST(coalesce(k, 0) AS DOUBLE) / (size * (size - 1)) END AS density FROM g LEFT JOIN inn ON inn.community = g.community""")
 def community_report(spark, d):
     n, e = table(spark, d, "nodes"), table(spark, d, "edges")
-    return specs.community_report(graph.communities(e), callgraph.call_pairs(e), callgraph.degrees(n, e))
+    return specs.community_report(_communities(spark, d), callgraph.call_pairs(e), callgraph.degrees(n, e))
 
 
 _ST = f"list_distinct(list_transform(list_filter({_TOK}, lambda x: length(x) > 3), lambda x: x[1:5]))"

@@ -24,12 +24,14 @@ def query(sql: str | None = None):
     return add
 
 
-_FILES = "f AS (SELECT file_id, min(repo) AS repo, min(file_path) AS file_path, min(content) AS content, min(language) AS language FROM source_files GROUP BY file_id)"
+_FILES = "f0 AS (SELECT file_id, arg_max({'repo': repo, 'file_path': file_path, 'content': content, 'language': language}, (scanned_at, coalesce(content, ''))) AS r FROM source_files GROUP BY file_id), f AS (SELECT file_id, r.repo AS repo, r.file_path AS file_path, r.content AS content, r.language AS language FROM f0)"
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """source_files, one row per file."""
-    return table(spark, d, "source_files").select("file_id", "repo", "file_path", "content", "language").where("file_id is not null").dropDuplicates(["file_id"])
+    """source_files, one row per file: the latest scan, of several at one time the one with the greatest content."""
+    f = table(spark, d, "source_files").where("file_id is not null").groupBy("file_id")
+    last = F.max_by(F.struct("repo", "file_path", "content", "language"), F.struct("scanned_at", F.coalesce("content", F.lit(""))))
+    return f.agg(last.alias("r")).select("file_id", "r.*")
 
 
 _TOK = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 1)"
@@ -78,14 +80,18 @@ _FLAG = "regexp_matches({0}, '{1}')"
 
 
 @query(
-    f"""WITH {_FILES} SELECT file_id, {_EXT} AS extension, {_LANG} AS language, list_extract(string_split(file_path, '/'), -1) AS name, len(string_split(file_path, '/')) - 1 AS depth,
-regexp_replace(file_path, '/[^/]*$', '') AS directory, {_FLAG.format('file_path', t.TEST_PATH)} AS is_test, {_FLAG.format('file_path', t.CONFIG_PATH)} AS is_config, {_FLAG.format('file_path', t.GENERATED_PATH)} AS is_generated FROM f"""
+    f"""WITH {_FILES}, g AS (SELECT *, list_extract(string_split(file_path, '/'), -1) AS name FROM f)
+SELECT file_id, {_EXT} AS extension, {_LANG} AS language, name, len(string_split(file_path, '/')) - 1 AS depth, regexp_replace(file_path, '/[^/]*$', '') AS directory,
+regexp_matches(file_path, '(^|/)(test|tests|__tests__|spec|specs)/') OR regexp_matches(name, '[.](test|spec)[.][^.]+$') OR regexp_matches(name, '_(test|spec)[.][^.]+$') OR regexp_matches(name, '^(test|spec)_.*[.][^.]+$') AS is_test,
+regexp_matches(name, '^[.].*rc([.](js|json|yaml|yml))?$') OR contains(name, 'config.') OR contains(name, 'settings.') OR regexp_matches(name, '^tsconfig.*[.]json$') OR name IN ('package.json', 'pyproject.toml', 'Cargo.toml', 'go.mod', 'Gemfile', 'composer.json') AS is_config,
+ends_with(name, '.d.ts') OR ends_with(name, '.generated.ts') OR ends_with(name, '.generated.js') OR contains(file_path, '/generated/') OR contains(file_path, '/__generated__/') AS is_generated,
+lower(regexp_replace(name, '[.][^.]*$', '')) IN ('index', 'main', 'app', 'server', 'cli', 'entry') OR (len(string_split(file_path, '/')) = 2 AND string_split(file_path, '/')[1] IN ('src', 'lib', 'bin')) AS is_entry_point FROM g"""
 )
 def path_metadata(spark, d):
     p = t.path_flags("file_path")
     return files(spark, d).select(
         "file_id", t.extension("file_path").alias("extension"), t.language_of("file_path").alias("language"), t.base_name("file_path").alias("name"), (F.size(F.split("file_path", "/")) - 1).cast("long").alias("depth"),
-        t.directory("file_path").alias("directory"), p["is_test"].alias("is_test"), p["is_config"].alias("is_config"), p["is_generated"].alias("is_generated"),
+        t.directory("file_path").alias("directory"), p["is_test"].alias("is_test"), p["is_config"].alias("is_config"), p["is_generated"].alias("is_generated"), p["is_entry_point"].alias("is_entry_point"),
     )
 
 
@@ -125,9 +131,11 @@ def clones_of_files(spark, d):
     return clones.clone_groups(files(spark, d), "file_id", "content")
 
 
-_SH = f"""t AS (SELECT doc_id AS id, {_TOK.format('text')} AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END)) AS s FROM t),
-c AS (SELECT s, min(id) AS class_id FROM s GROUP BY s), m AS (SELECT s.id, c.class_id, c.s FROM s JOIN c ON c.s = s.s),
+_ONE = r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_UNI = f"regexp_extract_all(regexp_replace(lower(text), '({_ONE})', ' \\1 ', 'g'), '{_ONE}|[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+_SH = f"""t AS (SELECT doc_id AS id, text, {_UNI} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END)) AS s, CASE WHEN len(w) = 0 THEN text END AS x FROM t),
+c AS (SELECT s, x, min(id) AS class_id FROM s GROUP BY s, x), m AS (SELECT s.id, c.class_id, c.s FROM s JOIN c ON c.s = s.s AND c.x IS NOT DISTINCT FROM s.x),
 o AS (SELECT class_id, s FROM c WHERE len(s) > 0),
 g AS (SELECT class_id, len(s) AS n, unnest(s) AS g FROM o), i AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.class_id < b.class_id GROUP BY 1, 2, 3, 4),
 l AS (SELECT a, b FROM i WHERE k >= 0.8 * (na + nb - k) - 1e-9), n AS (SELECT class_id, count(*) AS n_links FROM (SELECT a AS class_id FROM l UNION ALL SELECT b FROM l) u GROUP BY 1)"""
@@ -138,18 +146,16 @@ def clones_similar_documents(spark, d):
     return clones.similar_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-TASKS = ("rank the ledger window", "flush records to the log", "parse spec header", "merge cluster config snapshot")
-
-
-def _tasks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TASKS)), "query_id long, query string")
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 100, as a query."""
+    return table(spark, d, "documents").where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nodes").where("is_external = 0").select("id", retrieval.function_text().alias("text")).distinct()
 
 
-_TASKS_SQL = "tasks AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(TASKS)) + ") v(query_id, query))"
+_TASKS_SQL = "tasks AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL)"
 _FUN = "docs AS (SELECT DISTINCT id, concat_ws(chr(10), '[' || coalesce(language, '') || '] ' || coalesce(file_path, '') || ' ' || concat_ws('.', class_name, name), signature, docstring) AS text FROM nodes WHERE is_external = 0)"
 _BM25 = f"""k AS (SELECT id, {_TOK.format('text')} AS t FROM docs), st AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS al FROM k),
 po AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM k), p AS (SELECT id, dl, term, count(*) AS tf FROM po GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -160,7 +166,7 @@ bm AS (SELECT CAST(query_id AS BIGINT) AS query_id, id, score, CAST(row_number()
 
 @query(f"WITH {_TASKS_SQL}, {_FUN}, {_BM25} SELECT * FROM bm WHERE rank <= 10")
 def search_functions(spark, d):
-    return retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark))
+    return retrieval.bm25(_functions(spark, d), "id", "text", _tasks(spark, d))
 
 
 _SPECS = "docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_kind = 'spec')"
@@ -169,7 +175,7 @@ _SPECS = "docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_kind = 'sp
 @query(f"WITH {_TASKS_SQL}, {_SPECS}, {_BM25} SELECT * FROM bm WHERE rank <= 10")
 def search_specs(spark, d):
     specs = table(spark, d, "documents").where("doc_kind = 'spec'").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.bm25(specs, "id", "text", _tasks(spark))
+    return retrieval.bm25(specs, "id", "text", _tasks(spark, d))
 
 
 _NEAR = """e AS (SELECT vec_id AS id, embedding AS v FROM embeddings), nn AS (SELECT a.id AS query_id, b.id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))), 6) AS distance
@@ -182,7 +188,7 @@ def search_nearest_vectors(spark, d):
     return retrieval.nearest(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"))
 
 
-@query(f"""WITH tasks AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0 AND length(text) < 400 AND doc_id IN (SELECT vec_id FROM embeddings)),
+@query(f"""WITH tasks AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
 docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), {_BM25}, {_NEAR},
 dn AS (SELECT query_id, id, 1.0 / (60 + rank) AS d FROM nr WHERE rank <= 50), sp AS (SELECT query_id, id, 1.0 / (60 + rank) AS s FROM bm WHERE rank <= 50),
 fu AS (SELECT coalesce(dn.query_id, sp.query_id) AS query_id, coalesce(dn.id, sp.id) AS id, round(coalesce(d, 0) + coalesce(s, 0), 9) AS score FROM dn FULL JOIN sp ON sp.query_id = dn.query_id AND sp.id = dn.id),
@@ -190,7 +196,7 @@ fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def search_hybrid(spark, d):
     e = table(spark, d, "embeddings")
     docs = table(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    q = docs.where("doc_id % 100 = 0 and length(text) < 400").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     sparse = retrieval.bm25(docs, "doc_id", "text", q, k=50).select("query_id", "id", "rank")
     dense = retrieval.nearest(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), 50)
     return retrieval.fuse(dense, sparse)
