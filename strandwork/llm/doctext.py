@@ -46,8 +46,8 @@ _TRIGGER = re.compile(
     r"\b(?:to[\s-]?do|fix[\s-]?me|xxx|wip|tb[dac]|n/a|none|undocumented|undescribed|placeholder|stub|boilerplate|auto-?generated|automatically generated|"
     r"generated (?:by|from|code|comment|doc|method|stub)|scaffold\w*|template|lorem ipsum|missing|absent|lacking|lacks|goes here|here|to (?:be|come|follow)|"
     r"will (?:be|follow|come)|later|soon|yet|pending|not (?:yet )?(?:documented|described|available|written)|no (?:docs?|documentation|description|comments?|docstring|javadoc|text|details|explanation|summary)|nobody|nothing|"
-    r"see|refer|inherit\w*|above|below|elsewhere|internal(?:ly)?|private|public|deprecated|obsolete|experimental|unstable|draft|work in progress|under construction|"
-    r"replace|empty|fill (?:in|this|me|out)|(?:add|write|insert|provide|put|fix|improve|complete) (?:\w+ ){0,3}(?:docs?|documentation|description|comments?|docstring|text)|"
+    r"see|refer(?:s|ring)? (?:to|back)|inherit\w*|(?:as|described|documented|explained|noted|stated|comments?|docs?|documentation|description) (?:\w+ )?(?:above|below)|elsewhere|internal(?:ly)?|private|public|deprecated|obsolete|experimental|unstable|draft|work in progress|under construction|"
+    r"replace (?:this|me|with|it)|replace (?:\w+ ){0,2}(?:text|comment|docs?|documentation|description|docstring|placeholder)|empty|fill (?:in|this|me|out)|(?:add|write|insert|provide|put|fix|improve|complete) (?:\w+ ){0,3}(?:docs?|documentation|description|comments?|docstring|text)|"
     r"description(?: of)?|documentation(?: for| of)?|docs?|comment|docstring|self[- ]explanatory)\b",
     re.I,
 )

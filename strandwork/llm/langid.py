@@ -152,7 +152,7 @@ class Models:
                 i = self.known[w] = len(self.known)
                 if i >= len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = self._score(w[:60])
+                self.table[i] = self._score(w)
             at.append(i)
         return self.table[at]
 

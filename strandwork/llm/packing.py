@@ -163,6 +163,16 @@ def plan_rows(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, in
     return rows
 
 
+def _pieces(items: DataFrame, capacity: int) -> DataFrame:
+    """(doc_id, first_token, size): the items, those above the capacity in full pieces and a rest."""
+    n = F.col("n_tokens").cast("long")
+    return (
+        items.where("n_tokens > 0")
+        .select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / capacity))).alias("k"))
+        .select("doc_id", (F.col("k") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).cast("int").alias("size"))
+    )
+
+
 def fill_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(container_id, position, doc_id, first_token, n_tokens) from items (doc_id, n_tokens).
 
@@ -171,14 +181,7 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the same containers, whatever their order.
     """
     spark = items.sparkSession
-    n = F.col("n_tokens").cast("long")
-    pieces = (
-        items.where("n_tokens > 0")
-        .select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / capacity))).alias("k"))
-        .select("doc_id", (F.col("k") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).cast("int").alias("size"))
-        .withColumn("slice", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(max(16, partitions(spark)))))
-    )
-    pieces = cut(pieces)
+    pieces = cut(_pieces(items, capacity).withColumn("slice", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(max(16, partitions(spark))))))
     per = cut(pieces.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["size"]: r["n"] for r in per.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     plan, _ = plan_containers(histogram, capacity)
@@ -202,3 +205,19 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
     """fill_containers over the token counts of documents; empty and null texts are left out."""
     return fill_containers(token_counts(docs, path=path), capacity)
+
+
+def packing_report(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row on the plan for items (doc_id, n_tokens): n_pieces, n_tokens, n_containers, the least that their volume
+    needs, n_fixed (containers fixed by dominance) and fill, the share of the space that is used (null without items)."""
+    spark = items.sparkSession
+    histogram = {r["size"]: r["n"] for r in _pieces(items, capacity).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan, fixed = plan_containers(histogram, capacity)
+    pieces, tokens, n = sum(histogram.values()), sum(s * k for s, k in histogram.items()), sum(k for _, k in plan)
+    row = (pieces, tokens, n, -(-tokens // capacity), fixed, tokens / (n * capacity) if n else None)
+    return spark.createDataFrame([row], "n_pieces long, n_tokens long, n_containers long, least long, n_fixed long, fill double")
+
+
+def packing_summary(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
+    """packing_report over the token counts of documents."""
+    return packing_report(token_counts(docs, path=path), capacity)

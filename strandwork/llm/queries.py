@@ -36,6 +36,10 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p9_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_summary(table(spark, d, "documents"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.language_cases(table(spark, d, "documents"))
 
@@ -44,5 +48,5 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.document_languages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_failures, p6_rates, p8_ids, p9_containers, p10_found, p10_stretches)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_failures, p6_rates, p8_ids, p9_containers, p9_summary, p10_found, p10_stretches)}
 SQL: dict[str, str] = {}

@@ -14,10 +14,13 @@ from strandwork.llm.syntax.check import check, extension_language, parse
 from strandwork.util import partitions, trim_all
 
 
-def _once(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row per id, dealt out for work that is slow per row; rows without an id name nothing and are left out."""
+def _once(df: DataFrame, key: str, *columns: str, order: str) -> DataFrame:
+    """One row per id, the last by order (where there is such a column) and then by the columns themselves, dealt out for
+    work that is slow per row; rows without an id name nothing and are left out."""
     n = max(3 * df.sparkSession.sparkContext.defaultParallelism, partitions(df.sparkSession))
-    return df.select(key, *columns).where(F.col(key).isNotNull()).repartition(n, key).dropDuplicates([key])
+    by = [c for c in (order,) if c in df.columns] + list(columns)
+    rows = df.select(key, F.struct(*by).alias("_by"), F.struct(*columns).alias("_r")).where(F.col(key).isNotNull()).repartition(n, key)
+    return rows.groupBy(key).agg(F.max_by("_r", "_by").alias("_r")).select(key, "_r.*")
 
 
 def check_files(files: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def check_files(files: DataFrame) -> DataFrame:
 
     kind = dict(files.dtypes)["file_id"]
     some = files.where("content is not null and file_path is not null")
-    return _once(some, "file_id", "repo", "file_path", "content").mapInPandas(run, f"file_id {kind}, repo string, language string, valid boolean, line int, col int, cause string")
+    return _once(some, "file_id", "repo", "file_path", "content", order="scanned_at").mapInPandas(run, f"file_id {kind}, repo string, language string, valid boolean, line int, col int, cause string")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def file_pairs(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["origin", "record_id", "name", "line", "code", "description"])
 
     some = files.where("content is not null and file_path is not null")
-    return _once(some, "file_id", "file_path", "content").mapInPandas(run, "origin string, record_id long, name string, line int, code string, description string")
+    return _once(some, "file_id", "file_path", "content", order="scanned_at").mapInPandas(run, "origin string, record_id long, name string, line int, code string, description string")
 
 
 def candidate_pairs(candidates: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["origin", "record_id", "name", "line", "code", "description"])
 
     some = candidates.where(F.col("docstring").isNotNull() & F.col("signature").isNotNull() & (F.length(trim_all(F.col("signature"))) > 0))
-    return _once(some, "candidate_id", "name", "signature", "docstring").mapInPandas(run, "origin string, record_id long, name string, line int, code string, description string")
+    return _once(some, "candidate_id", "name", "signature", "docstring", order="requested_at").mapInPandas(run, "origin string, record_id long, name string, line int, code string, description string")
 
 
 def documented_functions(files: DataFrame, candidates: DataFrame) -> DataFrame:

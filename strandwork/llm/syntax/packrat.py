@@ -240,7 +240,8 @@ class Grammar:
         """kinds must end with 'EOF'."""
         far = [0]
         old = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(old, 400_000))
+        # frames live on the heap; no grammar nests deeper than this for a token
+        sys.setrecursionlimit(max(old, 40 * len(kinds) + 10_000))
         try:
             end = self._make(kinds, texts, newline, adjacent, far)(0)
         finally:

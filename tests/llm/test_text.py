@@ -397,3 +397,29 @@ def test_grammars_at_the_edges(path):
         assert not check(t, path).valid, t
     for t in LOOSER.get(path, []):
         assert check(t, path).valid, (t, check(t, path))
+
+
+def test_orders_about_things_are_no_absent_documentation():
+    from strandwork.llm.doctext import informative
+
+    for said in ("Replace the default value.", "Update the link above.", "Refer the issue to the parent."):
+        assert informative(said, "run")
+    for nothing in ("Replace this text.", "See above.", "Refer to the parent.", "Add a description here.", "As described above."):
+        assert not informative(nothing, "run")
+
+
+def test_deep_nesting_is_valid():
+    from strandwork.llm.syntax.check import check
+
+    n = 20_000
+    assert check("[" * n + "]" * n, "a.json").valid and not check("[" * n + "]" * (n - 1), "a.json").valid
+
+
+def test_packing_report(spark):
+    from strandwork.llm.packing import packing_report
+
+    rows = [(i, 1024) for i in range(10)] + [(20, 2048), (21, 5000), (22, None), (23, 0)]
+    r = packing_report(spark.createDataFrame(rows, "doc_id long, n_tokens long")).first()
+    assert (r["n_pieces"], r["n_tokens"], r["n_containers"], r["least"]) == (14, 17288, 9, 9) and r["n_fixed"] == 9
+    none = packing_report(spark.createDataFrame([], "doc_id long, n_tokens long")).first()
+    assert (none["n_pieces"], none["n_containers"], none["fill"]) == (0, 0, None)
