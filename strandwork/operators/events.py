@@ -200,3 +200,9 @@ def lease_states(mcp: DataFrame, module: str | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEASE_STATES.split(", ")])
 
     return e.repartition("agent", "span").sortWithinPartitions("agent", "span", "ts", "event_id").select("agent", "span", "event_id", "ts", "tool", "module").mapInPandas(run, LEASE_STATES)
+
+
+def cache_stats(lookups: DataFrame, key: str) -> DataFrame:
+    """(key, hits, total, hit_rate) of look-ups (key, hit boolean), the rate in percent rounded half up."""
+    n = lookups.groupBy(key).agg(F.sum(F.col("hit").cast("int")).alias("hits"), F.count(F.lit(1)).alias("total"))
+    return n.withColumn("hit_rate", js_round(100.0 * F.col("hits") / F.col("total")).cast("long"))

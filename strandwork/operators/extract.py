@@ -6,6 +6,9 @@ files has (file_id, file_path, content); the language is the one the extension s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ def _rows(files: DataFrame, rules: list[tuple[tuple[str, ...] | None, str, str]]
 IMPORTS = [
     (JS, "import", r"(?m)^import\s[^;'\"]*?from\s+['\"]([^'\"]+)['\"]"), (JS, "side_effect", r"(?m)^import\s+['\"]([^'\"]+)['\"]"), (JS, "require", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"),
     (JS, "re_export", r"(?m)^export\s[^;'\"]*?from\s+['\"]([^'\"]+)['\"]"), (("Python",), "import", r"(?m)^import[ \t]+([\w.]+)"), (("Python",), "from", r"(?m)^from[ \t]+([\w.]+)[ \t]+import\b"),
+    (("Rust",), "use", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([\w:]+)"), (("Rust",), "mod", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?mod[ \t]+(\w+)[ \t]*;"), (("Ruby",), "require", r"(?m)^[ \t]*require(?:_relative)?[ \t]*\(?['\"]([^'\"]+)['\"]"),
+    (("C++", "C"), "system", r"(?m)^[ \t]*#[ \t]*include[ \t]*<([^>\n]+)>"), (("C++", "C"), "include", r"(?m)^[ \t]*#[ \t]*include[ \t]*\"([^\"\n]+)\""), (("Swift",), "import", r"(?m)^[ \t]*(?:@\w+[ \t]+)?import[ \t]+(?:(?:struct|class|enum|protocol|func|var)[ \t]+)?([\w.]+)"),
     (("Java",), "import", r"(?m)^import[ \t]+(?:static[ \t]+)?([\w.]+(?:\.\*)?);"), (("Go",), "import", r"(?m)^import[ \t]+(?:\w+[ \t]+)?\"([^\"]+)\""),
 ]
 EXPORTS = [
@@ -46,12 +51,18 @@ EXPORTS = [
     (("Python",), "function", r"(?m)^(?:async[ \t]+)?def[ \t]+([A-Za-z]\w*)"), (("Python",), "class", r"(?m)^class[ \t]+([A-Za-z]\w*)"), (("Python",), "const", r"(?m)^([A-Z][A-Z0-9_]+)[ \t]*="),
     (("Java",), "class", r"(?m)^[ \t]*public[ \t]+(?:abstract[ \t]+|final[ \t]+|static[ \t]+)*(?:class|interface|enum|record)[ \t]+(\w+)"),
     (("Go",), "function", r"(?m)^func[ \t]+(?:\([^)]*\)[ \t]*)?([A-Z]\w*)"), (("Go",), "type", r"(?m)^type[ \t]+([A-Z]\w*)"),
+    (("Rust",), "function", r"(?m)^pub[ \t]+(?:async[ \t]+|unsafe[ \t]+|const[ \t]+)*fn[ \t]+(\w+)"), (("Rust",), "type", r"(?m)^pub[ \t]+(?:struct|enum|trait|type)[ \t]+(\w+)"), (("Swift",), "declaration", r"(?m)^(?:public|open)[ \t]+(?:final[ \t]+)?(?:func|class|struct|enum|protocol|actor)[ \t]+(\w+)"),
+    (("Ruby",), "class", r"(?m)^[ \t]*(?:class|module)[ \t]+([A-Z][\w:]*)"),
 ]
 DECLARATIONS = [
     (JS, "function", r"(?m)^(?:export\s+)?(?:default\s+)?((?:async\s+)?function\*?\s+\w+\s*\([^)]*\)[^{\n]*)\{"), (JS, "arrow", r"(?m)^(?:export\s+)?(const\s+\w+[^=\n]*=\s*(?:async\s*)?\([^)]*\)[^=\n]*=>)"),
     (JS, "interface", r"(?m)^(?:export\s+)?(interface\s+\w+[^{\n]*)\{"), (JS, "class", r"(?m)^(?:export\s+)?(class\s+\w+[^{\n]*)\{"), (("Python",), "function", r"(?m)^[ \t]*((?:async[ \t]+)?def[ \t]+\w+\([^)]*\)[^:\n]*):"),
     (("Python",), "class", r"(?m)^(class[ \t]+\w+[^:\n]*):"), (("Go",), "function", r"(?m)^(func[ \t]+[^{\n]+)\{"), (("Go",), "type", r"(?m)^(type[ \t]+\w+[ \t]+(?:struct|interface))"),
     (("Java",), "method", r"(?m)^[ \t]+((?:(?:public|private|protected|static|final|abstract|synchronized)[ \t]+)*[\w<>\[\], ]+[ \t]+\w+\([^)]*\)[^{;\n]*)\{"), (("Java",), "class", r"(?m)^[ \t]*((?:public[ \t]+)?(?:class|interface|enum|record)[ \t]+\w+[^{\n]*)\{"),
+    (("Rust",), "function", r"(?m)^[ \t]*((?:pub(?:\([^)]*\))?[ \t]+)?(?:async[ \t]+|unsafe[ \t]+|const[ \t]+)*fn[ \t]+\w+[^{;\n]*)[{;]"), (("Rust",), "type", r"(?m)^[ \t]*((?:pub(?:\([^)]*\))?[ \t]+)?(?:struct|enum|trait|impl)\b[^{;\n]*)[{;]"),
+    (("Ruby",), "method", r"(?m)^[ \t]*(def[ \t]+[\w.?!=]+(?:\([^)\n]*\))?)"), (("Ruby",), "class", r"(?m)^[ \t]*((?:class|module)[ \t]+[A-Z][^\n]*)"),
+    (("C++", "C"), "function", r"(?m)^((?:[\w:*&<>,]+[ \t]+)+[*&]*[\w:~]+\([^;{)\n]*\)[^;{\n]*)\{"), (("C++", "C"), "type", r"(?m)^((?:class|struct|union|namespace|enum(?:[ \t]+class)?)[ \t]+\w+[^;{\n]*)\{"),
+    (("Swift",), "function", r"(?m)^[ \t]*((?:(?:public|private|internal|open|static|override|mutating|final)[ \t]+)*(?:func[ \t]+\w+|init)[^{\n]*)\{"), (("Swift",), "type", r"(?m)^[ \t]*((?:(?:public|private|internal|open|final)[ \t]+)*(?:class|struct|enum|protocol|extension|actor)[ \t]+\w+[^{\n]*)\{"),
 ]
 ENVIRONMENT = [
     (JS, "reference", r"\bprocess\.env\.([A-Z][A-Z0-9_]*)"), (JS, "reference", r"\bprocess\.env\[['\"]([A-Z][A-Z0-9_]*)['\"]\]"), (("Python",), "reference", r"\bos\.environ(?:\.get\(|\[)\s*['\"]([A-Z][A-Z0-9_]*)['\"]"),
@@ -64,7 +75,9 @@ ROUTES = [
 HTTP_CALLS = [(JS, "fetch", r"\bfetch\(\s*['\"`]([^'\"`]+)['\"`]"), (JS, "client", r"\b(?:axios|ky|got|http)(?:\.(?:get|post|put|patch|delete))?\(\s*['\"`]([^'\"`]+)['\"`]"), (("Python",), "requests", r"\brequests\.(?:get|post|put|patch|delete)\(\s*f?['\"]([^'\"]+)['\"]")]
 SCHEMAS = [(JS, "typeorm", r"@Entity\([^)]*\)\s*(?:export\s+)?class\s+(\w+)"), (JS, "drizzle", r"\b(?:pg|mysql|sqlite)Table\(\s*['\"](\w+)['\"]"), (("Python",), "sqlalchemy", r"__tablename__\s*=\s*['\"](\w+)['\"]"), (None, "prisma", r"(?m)^model\s+(\w+)\s*\{")]
 MIDDLEWARE = [(JS, "use", r"\b(?:app|router)\.use\(\s*(\w+)"), (JS, "guard", r"@UseGuards\(\s*(\w+)"), (("Python",), "add", r"\.add_middleware\(\s*(\w+)")]
-COMPONENTS = [(JS, "react", r"(?m)^(?:export\s+)?(?:default\s+)?function\s+([A-Z]\w*)\s*\([^)]*\)[^{]*\{[\s\S]{0,400}?return\s*\(?\s*<"), (JS, "angular", r"@Component\([\s\S]{0,400}?\)\s*(?:export\s+)?class\s+(\w+)")]
+# a component's text ends where a line begins with its closing brace
+COMPONENTS = [(JS, "react", r"(?m)^(?:export\s+)?(?:default\s+)?(function\s+[A-Z]\w*\s*\([^)]*\)[^{]*\{(?:[^\n]*\}[ \t\r]*$|[\s\S]*?^\}))"), (JS, "angular", r"@Component\([\s\S]*?\)\s*(?:export\s+)?(?:default\s+)?(class\s+\w+)")]
+MARKUP = r"return\s*\(?\s*<|^class\s"
 TESTS = [(JS, "title", r"\b(?:it|test|describe)\(\s*['\"`]([^'\"`]+)['\"`]"), (("Python",), "title", r"(?m)^[ \t]*def[ \t]+(test_\w+)"), (("Go",), "title", r"(?m)^func[ \t]+(Test\w+)")]
 PARENTS = [(JS, "extends", r"\bclass\s+\w+\s+extends\s+(\w+)"), (JS, "implements", r"\bclass\s+\w+(?:\s+extends\s+\w+)?\s+implements\s+(\w+)"), (("Python",), "extends", r"(?m)^class[ \t]+\w+\((\w+)"), (("Java",), "extends", r"\bclass\s+\w+\s+extends\s+(\w+)"), (("Java",), "implements", r"\bclass\s+\w+(?:\s+extends\s+\w+)?\s+implements\s+(\w+)")]
 
@@ -89,11 +102,26 @@ def rule_matches(files: DataFrame, rules: list) -> DataFrame:
     return _rows(files, rules, "name")
 
 
+def components(files: DataFrame) -> DataFrame:
+    """(file_id, kind, name): functions that return markup, whatever their length, and classes with a component's decorator."""
+    c = _rows(files, COMPONENTS, "code").where(F.col("code").rlike(MARKUP))
+    return c.select("file_id", "kind", F.regexp_extract("code", r"^\w+\s+(\w+)", 1).alias("name"))
+
+
 def environment(files: DataFrame) -> DataFrame:
     """(name, n_files): settings read from the environment, merged over files."""
     return _rows(files, ENVIRONMENT, "name").groupBy("name").agg(F.count_distinct("file_id").alias("n_files"))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without '.' and '..' segments, however many; those that lead out of the root stay away."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part.isin(".", ""), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolved_imports(files: DataFrame) -> DataFrame:
     """(file_id, source, target_id): relative imports with the file they lead to.
 
@@ -102,8 +130,7 @@ def resolved_imports(files: DataFrame) -> DataFrame:
     i = imports(files).where("kind in ('import', 'require', 're_export') and source like '.%'").distinct()
     own = files.select("file_id", F.regexp_replace("file_path", "/[^/]*$", "").alias("dir"))
     i = i.join(own, "file_id").withColumn("path", F.concat_ws("/", "dir", "source"))
-    for _ in range(8):
-        i = i.withColumn("path", F.regexp_replace(F.regexp_replace("path", r"/\./", "/"), r"(^|/)(?!\.\.)[^/]+/\.\./", "$1"))
+    i = i.withColumn("path", plain_path(F.col("path")))
     bare = F.regexp_replace("path", r"\.(?:js|jsx|mjs|cjs|ts|tsx|mts)$", "")
     options = F.array(F.col("path"), *[F.concat(bare, F.lit(x)) for x in (".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.js")])
     c = i.select("file_id", "source", F.posexplode(options).alias("pos", "option"))
@@ -144,22 +171,31 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_char
     """(doc_id, chunk_no, chunk): texts cut at blank lines once they reach max_chars, each chunk beginning with the last
     ``overlap`` lines of the one before. A text up to max_chars is one chunk. Nothing is lost, whatever the length.
 
-    The lines of a text are folded in one expression over its array of lines.
+    In Arrow batches: each line is looked at once, which no fold over arrays in an expression would do.
     """
-    lines = F.split(text, "\n")
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-
-    def step(s: Column, line: Column) -> Column:
-        full = (s["n"] + F.length(line) + 1 >= max_chars) & (F.trim(line) == "") & (F.size(s["open"]) > 0)
-        grown = F.concat(s["open"], F.array(line))
-        tail = F.slice(grown, F.greatest(F.lit(1), F.size(grown) - (overlap - 1)), F.lit(overlap))
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(grown))).otherwise(s["done"]).alias("done"),
-            F.when(full, tail).otherwise(grown).alias("open"),
-            F.when(full, F.lit(0)).otherwise(s["n"] + F.length(line) + 1).cast("int").alias("n"),
-        )
-
-    folded = F.aggregate(lines, state, step, lambda s: F.when(F.size(s["done"]) == 0, F.array(s["open"])).when(F.size(s["open"]) > overlap, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
-    d = docs.where(F.col(text).isNotNull())
-    whole = F.when(F.length(text) <= max_chars, F.array(F.col(text))).otherwise(F.transform(folded, lambda c: F.array_join(c, "\n")))
-    return d.select(doc_id, F.posexplode(whole).alias("chunk_no", "chunk"))
+    kind = dict(docs.dtypes)[doc_id]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, n, c) for i, x in zip(b[doc_id], b[text]) for n, c in enumerate(cut_at_blank_lines(x, max_chars, overlap))]
+            yield pd.DataFrame(rows, columns=[doc_id, "chunk_no", "chunk"])
+
+    return docs.where(F.col(text).isNotNull()).select(doc_id, text).mapInPandas(run, f"`{doc_id}` {kind}, chunk_no int, chunk string")
+
+
+def cut_at_blank_lines(text: str, max_chars: int, overlap: int) -> Iterator[str]:
+    if len(text) <= max_chars:
+        yield text
+        return
+    lines: list[str] = []
+    first, n, any_done = 0, 0, False
+    for line in text.split("\n"):
+        lines.append(line)
+        full = n + len(line) + 1 >= max_chars and not line.strip(" ") and len(lines) - first > 1
+        n += len(line) + 1
+        if full:
+            yield "\n".join(lines[first:])
+            any_done = True
+            first, n = max(first, len(lines) - overlap), 0
+    if not any_done or len(lines) - first > overlap:
+        yield "\n".join(lines[first:])

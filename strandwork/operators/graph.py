@@ -102,7 +102,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, src: str = "caller_id", dst: str = "
     For the way up, swap src and dst. Without max_depth the search runs until nothing new is reached. ready: edges are
     links() already, whose columns src and dst name.
     """
-    e = (edges if ready else links(edges, src, dst).withColumnsRenamed({"src": src, "dst": dst})).select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")) if ready else links(edges, src, dst)
     if skip_prefix:
         e = e.where(~F.col("dst").startswith(skip_prefix))
     seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).where("id is not null").distinct())
@@ -313,19 +313,65 @@ def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
     return _scaled(ids, total.where("s <> id").groupBy("id").agg(F.sum("share").alias("b")))
 
 
-def cycles(edges: DataFrame, src: str = "parent_id", dst: str = "child_id") -> DataFrame:
+#: Edges of a strong component that one task searches for cycles.
+SMALL_COMPONENT = 5_000
+
+
+def _shortest_cycles(part: pd.DataFrame) -> pd.DataFrame:
+    """For each node of one component the shortest cycle through it, of several the one whose ids come first."""
+    down: dict[str, list[str]] = {}
+    for a, b in zip(part.src, part.dst):
+        down.setdefault(a, []).append(b)
+    for ends in down.values():
+        ends.sort()
+    out = set()
+    for seed in down:
+        # level by level, nodes in the order of their ways, so the first way to a node is the least of its length
+        level, before, found = [seed], {}, None
+        while level and found is None:
+            nxt = []
+            for v in level:
+                for w in down[v]:
+                    if w == seed:
+                        found = v
+                        break
+                    if w not in before:
+                        before[w] = v
+                        nxt.append(w)
+                if found is not None:
+                    break
+            level = nxt
+        way = [found]
+        while way[-1] != seed:
+            way.append(before[way[-1]])
+        way.reverse()
+        k = way.index(min(way))
+        out.add(tuple(way[k:] + way[:k]))
+    return pd.DataFrame({"cycle": [list(c) for c in sorted(out)], "length": [len(c) for c in sorted(out)]})
+
+
+def cycles(edges: DataFrame, src: str = "parent_id", dst: str = "child_id", small: int = SMALL_COMPONENT) -> DataFrame:
     """(cycle, length): for each node on a cycle the shortest one through it, of several the one whose ids come first;
     each cycle once, its smallest id first, whatever its length.
 
-    All nodes are searched from at once, within their strong component; a node's search ends with its cycle, and keeps
-    one way to each node it has reached. Components come from the contraction of hierarchy.py.
+    Strong components come from the contraction of hierarchy.py. One of at most ``small`` edges is searched in one task;
+    in greater ones all nodes are searched from at once, in rounds of joins: a node's search ends with its cycle, and
+    keeps one way to each node it has reached.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
     comp = cut(strong_components(e, "src", "dst").where("size > 1 or self_loop").select("id", "component"))
     inner = cut(
         e.join(comp.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src")
-        .join(comp.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
+        .join(comp.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("c1 = c2").select(F.col("c1").alias("component"), "src", "dst")
     )
+    big = cut(inner.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("component"))
+    near = inner.join(big, "component", "left_anti").groupBy("component").applyInPandas(_shortest_cycles, "cycle array<string>, length int").distinct()
+    if big.isEmpty():
+        return near
+    return near.unionByName(_cycles_in_rounds(inner.join(big, "component", "left_semi").select("src", "dst"), comp.join(big, "component", "left_semi")))
+
+
+def _cycles_in_rounds(inner: DataFrame, comp: DataFrame) -> DataFrame:
     front = cut(comp.select(F.col("id").alias("seed"), F.col("id").alias("src"), F.array("id").alias("path")))
     seen = front.select("seed", F.col("src").alias("dst")).limit(0)
     out = None

@@ -3,7 +3,8 @@
 Method: tree contraction. Each level first rakes the leaves (their answer follows from their parents'), then, within
 every partition, follows chains of single-parent nodes to the first node outside the partition's fragment. Only
 fragment exits and nodes with several parents go on to the smaller quotient, which is solved recursively; a quotient
-of at most ``max_local_edges`` edges is solved in one task, but every table is contracted at least once. Answers then
+of at most ``max_local_edges`` edges is solved in one task, but every table is contracted at least once (unless only
+cycles are asked for). Answers then
 expand back level by level: a node's rows are its exit's rows, moved down by the length of the fragment path. Cycles
 show up locally (a chain that never leaves its fragment becomes a loop at one representative) or globally (strong
 components of the quotient).
@@ -285,7 +286,7 @@ def _spread(edges: DataFrame, every: bool, paths: bool) -> tuple[DataFrame, Data
 def _solve(edges: DataFrame, every: bool | None, paths: bool, bound: int, level: int, stuck: int) -> tuple[DataFrame, DataFrame]:
     """(rows node, target, depth, path; flags node, state, scc) for the cut edge table."""
     n = edges.count()
-    if level and n <= bound:
+    if n <= bound and (level or every is None):
         out = cut(edges.repartition(1).mapInPandas(_local_solver(every, paths), _SOLVED))
         rows = out.where("target is not null").select("node", "target", "depth", "path")
         return rows, out.where("state is not null").select("node", "state", "scc")

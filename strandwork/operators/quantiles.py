@@ -157,15 +157,36 @@ def quantile_summaries(df: DataFrame, keys: list[str], value: str, eps: float =
     return s.drop("chunk")
 
 
-def merge_summaries(df: DataFrame, keys: list[str], eps: float = 0.01) -> DataFrame:
-    """Merge summaries by fewer keys, days to a whole, say; the errors add up, and err has the result's."""
+#: First groups of summaries that merge_summaries makes.
+MERGE_CHUNKS = 64
 
-    def up(part: pd.DataFrame) -> pd.DataFrame:
-        s = compress(_pairwise([_of(r) for r in part.itertuples(index=False)]), eps)
-        first = part.iloc[0]
-        return pd.DataFrame([(*[first[k] for k in keys], *_row(s))], columns=[*keys, *FIELDS])
 
-    return df.select(*keys, *FIELDS).groupBy(*keys).applyInPandas(up, f"{_keys(df, keys)}, {SUMMARY}")
+def merge_summaries(df: DataFrame, keys: list[str], eps: float = 0.01, chunks: int = MERGE_CHUNKS, fan_in: int = 8) -> DataFrame:
+    """Merge summaries by fewer keys, days to a whole, say; the errors add up, and err has the result's.
+
+    In rounds: summaries are dealt into chunks by their other keys, merged and compressed, then ``fan_in`` chunks at a
+    time, to a growing share of the permitted error, so that no task holds all summaries of a key.
+    """
+
+    def joiner(share: float):
+        def up(part: pd.DataFrame) -> pd.DataFrame:
+            s = compress(_pairwise([_of(r) for r in part.itertuples(index=False)]), share)
+            first = part.iloc[0]
+            return pd.DataFrame([(*[first[k] for k in keys], first["chunk"], *_row(s))], columns=[*keys, "chunk", *FIELDS])
+
+        return up
+
+    other = [c for c in df.columns if c not in FIELDS and c not in keys]
+    spread = F.pmod(F.xxhash64(*other), F.lit(chunks)) if other else F.lit(0)
+    s = df.select(*keys, spread.cast("int").alias("chunk"), *FIELDS)
+    n, rounds = chunks, 1
+    while n > 1:
+        n, rounds = -(-n // fan_in), rounds + 1
+    for i in range(rounds):
+        if i:
+            s = s.withColumn("chunk", F.floor(F.col("chunk") / fan_in).cast("int"))
+        s = s.groupBy(*keys, "chunk").applyInPandas(joiner(eps / 2 + eps / 2 * (i + 1) / rounds), f"{_keys(df, keys)}, chunk int, {SUMMARY}")
+    return s.drop("chunk")
 
 
 def read_quantiles(df: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
@@ -210,6 +231,18 @@ def tool_percentiles(events: DataFrame, eps: float = 0.01) -> DataFrame:
     return read_quantiles(days.unionByName(whole), ["tool", "ev_day"], POINTS)
 
 
+def rank_check(events: DataFrame, eps: float = 0.01) -> DataFrame:
+    """(tool, ev_day, n, p50_ok ...): whether each percentile's true rank, counted over all values, is within eps."""
+    r = cut(tool_percentiles(events, eps))
+    m = measured(events)
+    m = m.unionByName(m.withColumn("ev_day", F.lit("all"))).join(r.drop("n", "rank_error"), ["tool", "ev_day"])
+    n = F.count(F.lit(1))
+    counts = [x for p in POINTS for x in (F.sum((F.col("ms") < F.col(p)).cast("int")).alias(f"{p}_below"), F.sum((F.col("ms") <= F.col(p)).cast("int")).alias(f"{p}_upto"))]
+    c = m.groupBy("tool", "ev_day").agg(n.alias("n"), *counts)
+    ok = [((F.col(f"{p}_below") <= (q + eps) * F.col("n")) & (F.col(f"{p}_upto") >= (q - eps) * F.col("n"))).alias(f"{p}_ok") for p, q in POINTS.items()]
+    return c.select("tool", "ev_day", "n", *ok)
+
+
 def slow_days(events: DataFrame, factor: float = 2.0, least: int = 20, eps: float = 0.01) -> DataFrame:
     """(tool, ev_day): days with at least ``least`` values whose p50 is above ``factor`` times the tool's p50."""
     p = cut(tool_percentiles(events, eps))

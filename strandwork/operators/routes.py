@@ -72,7 +72,7 @@ def orient(hits: DataFrame, edges: DataFrame, nodes: DataFrame, specs: DataFrame
     parts = [functions, files.select("query_id", F.lit("file").alias("section"), "id", F.lit(None).cast("string").alias("detail"), "rank")]
     ids = hits.select("id").distinct()
     for section, own, other in (("caller", "callee_id", "caller_id"), ("callee", "caller_id", "callee_id")):
-        near = edges.join(F.broadcast(ids).withColumnRenamed("id", own), own, "left_semi").select(F.col(own).alias("hit"), F.col(other).alias("id")).where("id is not null").distinct()
+        near = edges.join(ids.withColumnRenamed("id", own), own, "left_semi").select(F.col(own).alias("hit"), F.col(other).alias("id")).where("id is not null").distinct()
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("hit").orderBy("id"))).where(F.col("rank") <= neighbours)
         parts.append(hits.select("query_id", F.col("id").alias("hit")).join(near, "hit").select("query_id", F.lit(section).alias("section"), "id", F.col("hit").alias("detail"), "rank"))
     parts.append(specs.select("query_id", F.lit("spec").alias("section"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("detail"), "rank"))

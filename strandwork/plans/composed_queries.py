@@ -92,7 +92,10 @@ def export_mermaid(spark, d):
     return sources.mermaid(links, callgraph.file_degrees(links).select(F.col("file").alias("id"), F.col("in_degree").alias("score")))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM edges WHERE caller_id IS NOT NULL AND callee_id IS NOT NULL), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
+live AS (SELECT a, b FROM e WHERE b IN (SELECT a FROM e) AND a IN (SELECT b FROM e)), reach AS (SELECT a, b FROM live UNION SELECT reach.a, live.b FROM reach JOIN live ON live.a = reach.b),
+m AS (SELECT r.a AS id, r.b AS other FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a UNION SELECT id, id FROM n)
+SELECT id, min(other) AS component, count(*) AS size, id IN (SELECT a FROM e WHERE a = b) AS self_loop FROM m GROUP BY id""")
 def graph_components(spark, d):
     return graph.strong_components(table(spark, d, "edges"))
 

@@ -37,6 +37,10 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.tool_percentiles(table(spark, d, "mcp_events"))
 
 
+def p3_rank_check(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.rank_check(table(spark, d, "mcp_events"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_sessions(spark, d).select("agent", "start_us", "end_us", "n_mcp", "n_lease")
 
@@ -57,7 +61,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return references.broken_reference_counts(table(spark, d, "edges"), _parents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_callers, p3_found, p3_percentiles, p5_found, p5_sessions, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_callers, p3_found, p3_percentiles, p3_rank_check, p5_found, p5_sessions, p7_found, p7_counts)}
 
 _LINKS = """
 e AS (SELECT DISTINCT parent_id AS p, child_id AS c FROM inheritance_edges WHERE parent_id IS NOT NULL AND child_id IS NOT NULL),
@@ -121,6 +125,9 @@ UNION ALL SELECT DISTINCT c, '', -2 FROM reach WHERE p IN (SELECT c FROM loops)
     "p1_paths": f"""WITH RECURSIVE {_LINKS} {_WALK}
 best AS (SELECT c, root, min(struct_pack(depth := depth, up := up)) AS b FROM walk GROUP BY c, root)
 SELECT c AS class_id, root AS root_id, CAST(b.depth AS INTEGER) AS depth, array_to_string(list_reverse(b.up), ' > ') AS path FROM best""",
+    "p1_descendants": """WITH RECURSIVE e AS (SELECT DISTINCT parent_id AS p, child_id AS c FROM inheritance_edges WHERE parent_id IS NOT NULL AND child_id IS NOT NULL),
+w AS (SELECT p AS a, c AS b, [p, c] AS path, 1 AS depth FROM e UNION ALL SELECT w.a, e.c, list_append(path, e.c), depth + 1 FROM w JOIN e ON e.p = w.b WHERE w.b <> w.a AND (e.c = w.a OR NOT list_contains(path, e.c)))
+SELECT a AS class_id, b AS descendant_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""",
     "p2_found": """WITH n AS (SELECT callee_id, count(DISTINCT caller_id) AS n FROM edges GROUP BY callee_id)
 SELECT DISTINCT id FROM nodes LEFT JOIN n ON id = callee_id WHERE is_external = 0 AND (fan_in IS NULL OR fan_in <> coalesce(n, 0))""",
     "p2_callers": """WITH n AS (SELECT callee_id, count(DISTINCT caller_id) AS n FROM edges GROUP BY callee_id)
@@ -128,6 +135,8 @@ SELECT DISTINCT id, fan_in, coalesce(n, 0) AS n_callers FROM nodes LEFT JOIN n O
     "p3_found": f"""{_MEASURED}, a AS (SELECT tool, quantile_disc(ms, 0.5) AS w FROM m GROUP BY tool),
 b AS (SELECT tool, ev_day, count(*) AS n, quantile_disc(ms, 0.5) AS q FROM m GROUP BY tool, ev_day)
 SELECT b.tool, b.ev_day FROM b JOIN a ON a.tool = b.tool WHERE n >= 20 AND q > 2 * w""",
+    "p3_rank_check": f"""{_MEASURED}, u AS (SELECT tool, ev_day FROM m UNION ALL SELECT tool, 'all' FROM m)
+SELECT tool, ev_day, count(*) AS n, true AS p50_ok, true AS p90_ok, true AS p95_ok, true AS p99_ok FROM u GROUP BY 1, 2""",
     "p5_found": _sessions(_COUNTS),
     "p5_sessions": _sessions(
         "CAST(max(us) - min(us) AS DOUBLE) / 1000000.0 AS duration_s, " + _COUNTS

@@ -59,19 +59,25 @@ def _simple(name: str, rules: list) -> None:
 
 for _name, _rules in (
     ("extract_routes", extract.ROUTES), ("extract_http_calls", extract.HTTP_CALLS), ("extract_schemas", extract.SCHEMAS), ("extract_middleware", extract.MIDDLEWARE),
-    ("extract_components", extract.COMPONENTS), ("extract_test_titles", extract.TESTS), ("extract_parents", extract.PARENTS),
+    ("extract_test_titles", extract.TESTS), ("extract_parents", extract.PARENTS),
 ):
     _simple(_name, _rules)
 
 
+@query(_rules_sql(extract.COMPONENTS, "code") + """ SELECT file_id, kind, regexp_extract(code, '^[a-z]+[ \\t\\r\\n]+([A-Za-z0-9_]+)', 1) AS name FROM r WHERE regexp_matches(code, 'return[ \\t\\r\\n]*[(]?[ \\t\\r\\n]*<') OR starts_with(code, 'class')""")
+def extract_components(spark, d):
+    return extract.components(files(spark, d))
+
+
 @query(_rules_sql(extract.ENVIRONMENT, "name") + " SELECT name, count(DISTINCT file_id) AS n_files FROM r GROUP BY name")
 def extract_environment(spark, d):
     return extract.environment(files(spark, d))
 
 
 @query(
-    _rules_sql(extract.IMPORTS, "source") + """, i AS (SELECT DISTINCT r.file_id, source, regexp_replace(f.file_path, '/[^/]*$', '') || '/' || source AS p FROM r JOIN f ON f.file_id = r.file_id WHERE kind IN ('import', 'require', 're_export') AND source LIKE './%'),
-o AS (SELECT file_id, source, unnest(range(0, 10)) AS pos, replace(p, '/./', '/') AS p FROM i),
+    _rules_sql(extract.IMPORTS, "source") + """, i AS (SELECT DISTINCT r.file_id, source, regexp_replace(f.file_path, '/[^/]*$', '') || '/' || source AS p FROM r JOIN f ON f.file_id = r.file_id WHERE kind IN ('import', 'require', 're_export') AND source LIKE '.%'),
+i2 AS (SELECT file_id, source, array_to_string(list_reduce(list_transform(list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.'), lambda x: [x]), lambda a, b: CASE WHEN b = ['..'] THEN a[1:len(a) - 1] ELSE list_concat(a, b) END), '/') AS p FROM i),
+o AS (SELECT file_id, source, unnest(range(0, 10)) AS pos, p FROM i2),
 c AS (SELECT file_id, source, pos, CASE pos WHEN 0 THEN p ELSE regexp_replace(p, '\\.(js|jsx|mjs|cjs|ts|tsx|mts)$', '') || ['.ts', '.tsx', '.mts', '.js', '.jsx', '.mjs', '.cjs', '/index.ts', '/index.js'][pos] END AS option FROM o)
 SELECT c.file_id, source, arg_min(f.file_id, (pos, f.file_id)) AS target_id FROM c JOIN f ON f.file_path = c.option GROUP BY 1, 2"""
 )

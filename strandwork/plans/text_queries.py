@@ -29,9 +29,10 @@ _FILES = "f0 AS (SELECT file_id, arg_max({'repo': repo, 'file_path': file_path,
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """source_files, one row per file: the latest scan, of several at one time the one with the greatest content."""
-    f = table(spark, d, "source_files").where("file_id is not null").groupBy("file_id")
-    last = F.max_by(F.struct("repo", "file_path", "content", "language"), F.struct("scanned_at", F.coalesce("content", F.lit(""))))
-    return f.agg(last.alias("r")).select("file_id", "r.*")
+    f = table(spark, d, "source_files").where("file_id is not null")
+    at = ["scanned_at"] if "scanned_at" in f.columns else []
+    last = F.max_by(F.struct("repo", "file_path", "content", "language"), F.struct(*at, F.coalesce("content", F.lit(""))))
+    return f.groupBy("file_id").agg(last.alias("r")).select("file_id", "r.*")
 
 
 _TOK = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 1)"

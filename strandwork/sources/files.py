@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions.text import base_name, directory, extension, glob_pattern, path_flags
 
-# Folders that are never entered.
-SKIPPED = ("node_modules", ".git", "dist", "build", "out", "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".next", ".cache")
+# Folders that are never entered, hidden folders that are, folders skipped below the root, and endings and
+# names of files that hold nothing to read.
+SKIPPED = ("node_modules", "dist", "build", "out", "target", "bin", "obj", "__pycache__", "coverage", "vendor", "storybook-static", "cdk.out", "android", "ios")
+HIDDEN_ENTERED = (".github", ".gitlab", ".circleci", ".azure")
+SKIPPED_BELOW = ("deps", "packages")
+SKIPPED_ENDS = (
+    ".lock .lockb .min.js .min.css .bundle.js .chunk.js .map .png .jpg .jpeg .gif .svg .ico .webp .bmp .woff .woff2 .ttf .eot .otf .mp3 .mp4 .wav .avi .mov .webm .pdf .doc .docx .xls .xlsx "
+    ".zip .tar .gz .rar .7z .pyc .pyo .class .o .so .dll .exe"
+).split()
+SKIPPED_NAMES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", ".DS_Store", "Thumbs.db")
 #: Files above this size have their lines left uncounted.
 LARGE = 10_000_000
 
 
-def skipped(path: Column, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> Column:
-    """Whether a relative path lies in a skipped or hidden folder or matches an ignored glob; included globs win."""
-    c = path.rlike(r"(?:^|/)(?:" + "|".join(map(lambda s: s.replace(".", r"\."), SKIPPED)) + r")/") | path.rlike(r"(?:^|/)\.[^/]+/")
+def skipped(path: Column, ignore: tuple[str, ...] = (), include: tuple[str, ...] = (), below: tuple[str, ...] = SKIPPED_BELOW) -> Column:
+    """Whether a relative path lies in a skipped or hidden folder, is of a skipped kind or matches an ignored glob;
+    included globs win over the last."""
+    any_of = lambda words: "|".join(re.escape(w) for w in words)
+    c = path.rlike(rf"(?:^|/)(?:{any_of(SKIPPED)})/") | path.rlike(rf"(?:^|/)(?!(?:{any_of(HIDDEN_ENTERED)})/)\.[^/]+/")
+    c = c | path.rlike(rf"(?i)(?:{any_of(SKIPPED_ENDS)})$") | path.rlike(rf"(?:^|/)(?:{any_of(SKIPPED_NAMES)})$")
+    if below:
+        c = c | path.rlike(rf"/(?:{any_of(below)})/")
     if ignore:
-        c = c | path.rlike("|".join(map(glob_pattern, ignore)))
-    return c & ~path.rlike("|".join(map(glob_pattern, include))) if include else c
+        g = path.rlike("|".join(map(glob_pattern, ignore)))
+        c = c | (g & ~path.rlike("|".join(map(glob_pattern, include))) if include else g)
+    return c
 
 
 def walk(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), include: tuple[str, ...] = (), content: bool = False) -> DataFrame:
@@ -59,18 +75,37 @@ def stream_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Write beside the old table, then swap, so that readers see the old rows or the new ones."""
+def overwrite(df: DataFrame, path: str, keep: int = 1) -> None:
+    """Write the rows as a new version below path, then name it current in one rename; readers (read_current) see the old
+    rows or the new ones, never none. Versions before the last ``keep`` are deleted."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = lambda s: jvm.org.apache.hadoop.fs.Path(s)
     fs = p(path).getFileSystem(conf)
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(p(path + ".old"), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(path + ".old"))
-    fs.rename(p(path + ".new"), p(path))
-    fs.delete(p(path + ".old"), True)
+    old = _versions(fs, p(path))
+    version = (old[-1] if old else 0) + 1
+    df.write.parquet(f"{path}/v{version:012d}")
+    # a marker appears at once: the greatest one names the current version
+    fs.mkdirs(p(f"{path}/_current"))
+    fs.create(p(f"{path}/_current/.{version}"), True).close()
+    fs.rename(p(f"{path}/_current/.{version}"), p(f"{path}/_current/{version}"))
+    for v in old[:-keep] if keep else old:
+        fs.delete(p(f"{path}/_current/{v}"), False)
+        fs.delete(p(f"{path}/v{v:012d}"), True)
+
+
+def _versions(fs, path) -> list[int]:
+    marks = path.suffix("/_current")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(marks) if f.getPath().getName().isdigit()) if fs.exists(marks) else []
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that overwrite() wrote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    versions = _versions(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+    if not versions:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{versions[-1]:012d}")
 
 
 # -- change sets (column value: one line) --------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -37,7 +38,7 @@ def test_depths_components_cycles(spark):
     by_colour = {r["id"]: (r["component"], r["size"], r["self_loop"]) for r in graph.components_by_colour(e, "caller_id", "callee_id").collect()}
     assert got == by_colour
     assert got["b"] == ("a", 3, False) and got["x"] == ("x", 2, False) and got["s"] == ("s", 1, True) and got["d"] == ("d", 1, False)
-    assert rows(graph.cycles(e, 6, "caller_id", "callee_id")) == [(["a", "b", "c"], 3), (["s"], 1), (["x", "y"], 2)]
+    assert rows(graph.cycles(e, "caller_id", "callee_id")) == [(["a", "b", "c"], 3), (["s"], 1), (["x", "y"], 2)]
 
 
 def test_cycles_of_any_length(spark):
@@ -45,7 +46,39 @@ def test_cycles_of_any_length(spark):
     # the second ring hangs on a short loop, so a part of its nodes is on no short cycle
     big = [f"b{i}" for i in range(8)]
     e = edges(spark, [*zip(ring, [*ring[1:], ring[0]]), *zip(big, [*big[1:], big[0]]), ("b1", "b0"), ("x", "r05")])
-    assert rows(graph.cycles(e, 6, "caller_id", "callee_id")) == sorted([(["r01", "r09", "r02", "r07", "r04", "r06", "r05", "r03", "r08"], 9), (["b0", "b1"], 2), (big, 8)], key=repr)
+    assert rows(graph.cycles(e, "caller_id", "callee_id")) == sorted([(["r01", "r09", "r02", "r07", "r04", "r06", "r05", "r03", "r08"], 9), (["b0", "b1"], 2), (big, 8)], key=repr)
+    assert rows(graph.cycles(e, "caller_id", "callee_id", small=3)) == rows(graph.cycles(e, "caller_id", "callee_id"))
+
+
+def test_cycles_in_rounds_and_in_one_task(spark):
+    r = random.Random(3)
+    pairs = [(f"n{r.randrange(14):02d}", f"n{r.randrange(14):02d}") for _ in range(40)]
+    e = edges(spark, pairs)
+    down = {}
+    for a, b in pairs:
+        down.setdefault(a, set()).add(b)
+    want = set()
+    for seed in down:
+        ways = [(seed,)]
+        for _ in range(14):
+            closed = [w for w in ways if seed in down.get(w[-1], ())]
+            if closed:
+                way = min(closed)
+                k = way.index(min(way))
+                want.add(way[k:] + way[:k])
+                break
+            ways = [(*w, x) for w in ways for x in down.get(w[-1], ()) if x not in w]
+    for small in (5_000, 0):
+        assert {tuple(c["cycle"]) for c in graph.cycles(e, "caller_id", "callee_id", small).collect()} == want
+
+
+def test_shortest_paths(spark):
+    e = edges(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("a", "x"), ("x", "y"), ("y", "d"), ("b", "b"), ("d", "e")])
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "id string")
+    got = rows(graph.shortest_paths(e, one("a", "x"), one("e", "a")))
+    assert got == sorted([("a", "e", ["a", "b", "d", "e"], 3), ("a", "e", ["a", "c", "d", "e"], 3), ("x", "e", ["x", "y", "d", "e"], 3), ("x", "a", ["x", "y", "d", "a"], 3)], key=repr)
+    assert rows(graph.shortest_paths(e, one("a"), one("e"), k=1)) == [("a", "e", ["a", "b", "d", "e"], 3)]
+    assert graph.shortest_paths(e, one("a"), one("e"), max_steps=2).collect() == [] and graph.shortest_paths(e.limit(0), one("a"), one("e")).collect() == []
 
 
 @pytest.mark.parametrize("bound", [100, 0])
@@ -61,7 +94,9 @@ def test_pagerank_and_communities(spark):
     r = dict(rows(graph.pagerank(e)))
     assert r["a"] == 1.0 and r["a"] > r["b"] > r["c"]
     two = [(x, y) for g in ("abcd", "wxyz") for x in g for y in g if x < y] + [("d", "w")]
-    c = dict(rows(graph.communities(edges(spark, two))))
+    ids = spark.createDataFrame([(x,) for x in "abcdwxyzq"], "id string")
+    c = dict(rows(graph.communities(edges(spark, [*two, ("a", "external::x"), ("w", "external::x")]), ids)))
+    assert c["q"] == "q" and len(c) == 9
     assert len({c[x] for x in "abcd"}) == 1 and len({c[x] for x in "wxyz"}) == 1 and c["a"] != c["z"]
 
 
@@ -253,7 +288,7 @@ def test_store(spark, tmp_path):
     p = str(tmp_path / "t")
     src.overwrite(old, p)
     src.overwrite(new, p)
-    assert rows(spark.read.parquet(p)) == rows(new)
+    assert rows(src.read_current(spark, p)) == rows(new)
 
 
 def test_sources(spark, tmp_path):
@@ -285,3 +320,60 @@ def test_risk(spark):
     got = {r["id"]: (r["fan_in"], r["fan_out"], r["upstream"], r["downstream"], r["risk"], r["level"]) for r in graph.impact(nodes, e, nodes.select("id")).collect()}
     assert got["a"] == (0, 2, 0, 2, 7, "low") and got["b"] == (1, 0, 1, 0, 6, "low")
     assert callgraph.graph_statistics(nodes, e).first()["n_entry_points"] == 1
+
+
+def test_transitive_scores(spark):
+    e = spark.createDataFrame([("a", "b", "await"), ("a", "b", "direct"), ("c", "a", "method"), ("d", "a", None), ("b", "d", "direct"), ("z", None, None)], "caller_id string, callee_id string, call_type string").withColumn("kind", F.lit(None).cast("string"))
+    got = dict(rows(coverage.transitive_scores(e, spark.createDataFrame([("b",), ("c",), (None,)], "id string"))))
+    # b: a by await at 1, then c by method and d by an unknown call at 2, then b itself at 3
+    assert got == {"b": pytest.approx(1.0 + (0.6 + 0.5) / 4 + 0.7 / 9)}
+    many = spark.createDataFrame([(f"c{i}", "hub", "await", None) for i in range(12)], "caller_id string, callee_id string, call_type string, kind string")
+    assert dict(rows(coverage.transitive_scores(many, spark.createDataFrame([("hub",)], "id string")))) == {"hub": 10.0}
+    nodes = spark.createDataFrame([("h", 1, "http"), ("f", 1, "filesystem"), ("i", 0, None)], "id string, is_external int, external_kind string")
+    b = spark.createDataFrame([("a", "h", None), ("b", "f", "calls"), ("c", "i", None)], "caller_id string, callee_id string, kind string")
+    assert dict(rows(coverage.boundary_scores(b, nodes))) == {"a": 1.0, "b": pytest.approx(1 / 3)}
+
+
+def test_tested_by(spark):
+    e = spark.createDataFrame([("t/a.test.ts", "src/m.ts::run"), ("t/a.test.ts", "src/m.ts::run"), ("src/o.ts", "src/m.ts::stop"), (None, "src/m.ts::run")], "caller_file string, callee_id string")
+    n = spark.createDataFrame([("src/m.ts::run", "run", "src/m.ts", 0), ("src/m.ts::stop", "stop", "src/m.ts", 0), ("t/a.test.ts::help", "help", "t/a.test.ts", 0)], "id string, name string, file_path string, is_external int")
+    i = spark.createDataFrame([("t/a.test.ts", "src/m.ts", "run"), ("t/a.test.ts", "src/m.ts", "stop"), ("src/o.ts", "src/m.ts", "run")], "test_file string, target_path string, name string")
+    got = callgraph.tested_by(e, n, i)
+    assert rows(got) == [("src/m.ts::run", "t/a.test.ts", "called"), ("src/m.ts::stop", "t/a.test.ts", "import")]
+    assert dict(rows(coverage.test_weights(got))) == {"src/m.ts::run": 1.0, "src/m.ts::stop": 0.3}
+
+
+def test_components_and_far_imports(spark):
+    body = "\n".join(f"  const a{i} = {i};" for i in range(200))
+    text = f"export function Long(p: P) {{\n{body}\n  return (\n    <b/>\n  );\n}}\nfunction Short() {{ return <i/>; }}\nfunction Plain() {{\n  return 1;\n}}\n@Component({{ a: 1 }})\nexport class Box {{}}\n"
+    up = "/".join(["a"] * 12)
+    f = spark.createDataFrame([(1, "x/view.tsx", text), (2, f"{up}/m.ts", "import { x } from '" + "../" * 12 + "b.js'\n"), (3, "b.ts", "export const x = 1"), (4, None, None)], "file_id long, file_path string, content string")
+    assert rows(extract.components(f)) == [(1, "angular", "Box"), (1, "react", "Long"), (1, "react", "Short")]
+    assert rows(extract.resolved_imports(f)) == [(2, "../" * 12 + "b.js", 3)]
+
+
+def test_products(spark):
+    from strandwork.operators import products
+
+    f = spark.createDataFrame([("src/auth/login.ts",), ("src/auth/user-store.ts",), ("lib/user-view.tsx",), ("x/auth-core.ts",), ("modules/a/b.go",), (None,)], "file_path string")
+    assert {(r["domain"], r["file_path"]) for r in products.inferred_domains(f).collect()} == {("auth", "src/auth/login.ts"), ("auth", "src/auth/user-store.ts"), ("user", "src/auth/user-store.ts"), ("user", "lib/user-view.tsx")}
+    dm = spark.createDataFrame([("auth",), ("Auth-Core",), ("user",)], "domain string")
+    assert dict(rows(products.known_domains(f, dm))) == {"src/auth/login.ts": "auth", "src/auth/user-store.ts": "auth", "lib/user-view.tsx": "user", "x/auth-core.ts": "Auth-Core"}
+    assert products.architecture_pattern(f).first()[0] == "monolith" and products.architecture_pattern(f.limit(0)).first()[0] == "monolith"
+    one = spark.createDataFrame([("function f(a: Map<string, [x, y]>, cb: (u, v) => void)", "axios.get")], "s string, n string")
+    r = one.select(products.arity(F.col("s")), products.external_kind(F.col("n")), products.external_kind(F.lit("res.send")), products.external_kind(F.lit("foo")), products.search_depth(F.lit(400)), products.arity(F.lit("const x"))).first()
+    assert tuple(r) == (2, "http", "stdlib", "unknown", 2, None)
+
+
+def test_other_languages(spark):
+    code = [
+        (1, "a.rs", "use std::fmt;\nmod deck;\npub struct Deck<T> {\n}\nimpl Deck {\n    pub async fn show(&self) -> u8 {\n    }\n}\npub fn run() {\n}\n"), (2, "a.rb", "require 'json'\nrequire_relative \"box\"\nmodule Store\n  class Box < Base\n    def put(x)\n    end\n  end\nend\n"),
+        (3, "a.cpp", "#include <vector>\n#include \"far.h\"\nclass Ring : public Base {\n};\nint Ring::at(int i) const {\n}\n"), (4, "a.swift", "import Foundation\npublic struct Feed {\n  func load(_ n: Int) async throws -> [Int] {\n  }\n}\n"),
+    ]
+    f = spark.createDataFrame(code, "file_id long, file_path string, content string")
+    assert rows(extract.imports(f)) == sorted([(1, "mod", "deck"), (1, "use", "std::fmt"), (2, "require", "box"), (2, "require", "json"), (3, "include", "far.h"), (3, "system", "vector"), (4, "import", "Foundation")], key=repr)
+    assert rows(extract.exports(f)) == sorted([(1, "function", "run"), (1, "type", "Deck"), (2, "class", "Box"), (2, "class", "Store"), (4, "declaration", "Feed")], key=repr)
+    assert rows(extract.declarations(f)) == sorted([
+        (1, "function", "pub async fn show(&self) -> u8"), (1, "function", "pub fn run()"), (1, "type", "impl Deck"), (1, "type", "pub struct Deck<T>"), (2, "class", "class Box < Base"), (2, "class", "module Store"), (2, "method", "def put(x)"),
+        (3, "function", "int Ring::at(int i) const"), (3, "type", "class Ring : public Base"), (4, "function", "func load(_ n: Int) async throws -> [Int]"), (4, "type", "public struct Feed"),
+    ], key=repr)
