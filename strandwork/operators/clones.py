@@ -40,7 +40,7 @@ def near_groups(units: DataFrame, unit_id: str, code: str, grouped: DataFrame, t
     renamed, are similar to those of the group's first unit.
 
     As if one went through the units by id: a unit that is in no group yet takes all later ones that are similar to it and
-    in none either. group_id is the hash of the first unit's id. All pairs are compared, however many units there are.
+    in none either. group_id is the hash of the first unit's id. Similar pairs come from the exact join below.
     """
     u = _plain(units, unit_id, code, least_lines, least_tokens).join(grouped.select(F.col(unit_id).alias("uid")), "uid", "left_anti")
     u = cut(u.select("uid", rename_identifiers("plain").alias("plain")))

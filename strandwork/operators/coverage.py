@@ -212,12 +212,23 @@ def significance(files: DataFrame, degrees: DataFrame) -> DataFrame:
 def requirement_links(requirements: DataFrame, functions: DataFrame, least: float = 0.7) -> DataFrame:
     """(req, id, similarity): requirements and functions that share at least so much of their words, the two best each.
 
-    Only pairs that share a word meet; the words of a name are its parts. requirements (req, words), functions (id, words).
+    The words of a name are its parts, ordered from the rarest up: two sets of a Jaccard share of t have a word in common
+    among the first n - ceil(t * n) + 1 of either (n words), so only those meet, and common words bring nobody together.
+    requirements (req, words), functions (id, words).
     """
     r = requirements.select("req", F.array_distinct("words").alias("rw")).where(F.size("rw") > 0)
     f = functions.select("id", F.array_distinct("words").alias("fw")).where(F.size("fw") > 0)
-    meet = r.select("req", F.size("rw").alias("nr"), F.explode("rw").alias("w")).join(f.select("id", F.size("fw").alias("nf"), F.explode("fw").alias("w")), "w")
-    j = meet.groupBy("req", "id", "nr", "nf").agg(F.count(F.lit(1)).alias("k")).withColumn("similarity", F.round(F.col("k") / (F.col("nr") + F.col("nf") - F.col("k")), 6)).where(F.col("similarity") >= least)
+    spread = lambda df, key, words: df.select(key, F.size(words).alias("n"), F.explode(words).alias("w"))
+    a, b = spread(r, "req", "rw"), spread(f, "id", "fw")
+    often = a.select("w").unionByName(b.select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+
+    def first(df: DataFrame, key: str) -> DataFrame:
+        i = F.row_number().over(Window.partitionBy(key).orderBy("k", "w"))
+        return df.join(often, "w").withColumn("i", i).where(F.col("i") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select(key, "w")
+
+    meet = first(a, "req").join(first(b, "id"), "w").select("req", "id").distinct().join(r, "req").join(f, "id")
+    k = F.size(F.array_intersect("rw", "fw"))
+    j = meet.select("req", "id", F.round(k / (F.size("rw") + F.size("fw") - k), 6).alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("req").orderBy(F.desc("similarity"), "id")
     return j.withColumn("i", F.row_number().over(w)).where("i <= 2").select("req", "id", "similarity")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.text import normalise_url
+from strandwork.operators.retrieval import STRATEGY, composite, role
 
 # Prefixes that a call's path may have before a route's.
 PREFIXES = ("/api/v1", "/api/v2", "/api/v3", "/api", "/v1", "/v2", "/v3")
@@ -60,16 +61,27 @@ def unified_search(code: DataFrame, specs: DataFrame, links: DataFrame, k: int =
 def orient(hits: DataFrame, edges: DataFrame, nodes: DataFrame, specs: DataFrame, neighbours: int = 5) -> DataFrame:
     """(query_id, section, id, detail, rank): what to look at for a task.
 
-    hits and specs are rankings (query_id, id, rank). Sections: 'function' the hits, 'file' their files by best rank,
-    'caller' and 'callee' up to ``neighbours`` of each hit by id (detail is the hit), 'spec' the specification hits. The
-    neighbours of all hits come from one semi-join.
+    hits (query_id, id, score, rank) and specs (query_id, id, rank) are rankings. Sections: 'function' the hits, 'file' and
+    'domain' (the path's fourth segment) their files and domains by best rank, 'insertion' the ``neighbours`` hits that suit
+    an addition best, by score and role (detail is the strategy), 'caller' and 'callee' up to ``neighbours`` of each hit by
+    id (detail is the hit), 'spec' the specification hits. The neighbours of all hits come from one semi-join.
     """
-    n = nodes.select("id", "file_path", "name", "signature").groupBy("id").agg(F.min("file_path").alias("file_path"), F.min("signature").alias("signature"))
-    h = hits.select("query_id", "id", "rank").join(n, "id", "left")
+    n = nodes.groupBy("id").agg(
+        F.min("file_path").alias("file_path"), F.min("signature").alias("signature"), F.min("fan_in").alias("fan_in"), F.min("fan_out").alias("fan_out"), F.max("is_hub").alias("hub"), F.max("is_entry_point").alias("entry")
+    )
+    h = hits.select("query_id", "id", "score", "rank").join(n, "id", "left")
+    of_role = role(F.col("fan_in"), F.col("fan_out"), F.col("hub") == 1, F.col("entry") == 1)
+    best = h.groupBy("query_id").agg(F.max("score").alias("most"))
+    places = h.join(best, "query_id").withColumn("role", of_role).withColumn("fit", F.round(composite(F.coalesce(F.try_divide("score", "most"), F.lit(0.0)), F.col("role")), 6))
+    places = places.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fit"), "id"))).where(F.col("rank") <= neighbours)
+    strategy = F.create_map(*[F.lit(x) for kv in STRATEGY.items() for x in kv])[F.col("role")]
     functions = h.select("query_id", F.lit("function").alias("section"), "id", F.col("signature").alias("detail"), "rank")
     w = Window.partitionBy("query_id").orderBy("best", "id")
     files = h.groupBy("query_id", F.col("file_path").alias("id")).agg(F.min("rank").alias("best")).withColumn("rank", F.row_number().over(w))
     parts = [functions, files.select("query_id", F.lit("file").alias("section"), "id", F.lit(None).cast("string").alias("detail"), "rank")]
+    domain = h.groupBy("query_id", F.try_element_at(F.split("file_path", "/"), F.lit(4)).alias("id")).agg(F.min("rank").alias("best")).where("id is not null").withColumn("rank", F.row_number().over(w))
+    parts.append(domain.select("query_id", F.lit("domain").alias("section"), "id", F.lit(None).cast("string").alias("detail"), "rank"))
+    parts.append(places.select("query_id", F.lit("insertion").alias("section"), "id", strategy.alias("detail"), "rank"))
     ids = hits.select("id").distinct()
     for section, own, other in (("caller", "callee_id", "caller_id"), ("callee", "caller_id", "callee_id")):
         near = edges.join(ids.withColumnRenamed("id", own), own, "left_semi").select(F.col(own).alias("hit"), F.col(other).alias("id")).where("id is not null").distinct()

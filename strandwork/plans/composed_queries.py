@@ -38,12 +38,17 @@ def _specs(spark, d, k=10):
     return retrieval.bm25(s, "id", "text", _tasks(spark, d), k=k)
 
 
-@query(_BOTH + """, hit AS (SELECT query_id, id, rank FROM bm WHERE rank <= 10), n AS (SELECT id, min(file_path) AS file_path, min(signature) AS signature FROM nodes GROUP BY id),
+@query(_BOTH + """, hit AS (SELECT query_id, id, rank, score FROM bm WHERE rank <= 10), n AS (SELECT id, min(file_path) AS file_path, min(signature) AS signature, min(fan_in) AS fi, min(fan_out) AS fo, max(is_hub) AS hub, max(is_entry_point) AS ent FROM nodes GROUP BY id),
+do1 AS (SELECT query_id, list_extract(string_split(file_path, '/'), 4) AS id, min(rank) AS best FROM hit JOIN n ON n.id = hit.id GROUP BY 1, 2),
+in1 AS (SELECT query_id, hit.id, score / max(score) OVER (PARTITION BY query_id) AS share, CASE WHEN ent = 1 THEN 'entry_point' WHEN hub = 1 THEN 'hub' WHEN fo >= 5 THEN 'orchestrator' WHEN fi <= 1 THEN 'utility' ELSE 'internal' END AS role FROM hit LEFT JOIN n ON n.id = hit.id),
+in2 AS (SELECT *, round(0.6 * share + 0.4 * CASE role WHEN 'entry_point' THEN 1.0 WHEN 'orchestrator' THEN 0.8 WHEN 'hub' THEN 0.6 WHEN 'internal' THEN 0.4 ELSE 0.3 END, 6) AS fit FROM in1), in3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fit DESC, id) AS rank FROM in2),
 fl AS (SELECT query_id, file_path AS id, min(rank) AS best FROM hit JOIN n ON n.id = hit.id GROUP BY 1, 2),
 e1 AS (SELECT DISTINCT callee_id AS hit, caller_id AS id FROM edges WHERE callee_id IN (SELECT id FROM hit) AND caller_id IS NOT NULL), e2 AS (SELECT DISTINCT caller_id AS hit, callee_id AS id FROM edges WHERE caller_id IN (SELECT id FROM hit) AND callee_id IS NOT NULL),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY id) AS rank FROM e1), r2 AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY id) AS rank FROM e2)
 SELECT query_id, 'function' AS section, hit.id, signature AS detail, CAST(rank AS INTEGER) AS rank FROM hit LEFT JOIN n ON n.id = hit.id
 UNION ALL SELECT query_id, 'file', id, NULL, row_number() OVER (PARTITION BY query_id ORDER BY best, id) FROM fl
+UNION ALL SELECT query_id, 'domain', id, NULL, row_number() OVER (PARTITION BY query_id ORDER BY best, id) FROM do1 WHERE id IS NOT NULL
+UNION ALL SELECT query_id, 'insertion', id, CASE role WHEN 'entry_point' THEN 'extend_entry_point' WHEN 'orchestrator' THEN 'add_orchestration_step' WHEN 'hub' THEN 'cross_cutting_hook' WHEN 'utility' THEN 'extract_shared_logic' ELSE 'call_alongside' END, rank FROM in3 WHERE rank <= 5
 UNION ALL SELECT hit.query_id, 'caller', r1.id, r1.hit, r1.rank FROM hit JOIN r1 ON r1.hit = hit.id WHERE r1.rank <= 5
 UNION ALL SELECT hit.query_id, 'callee', r2.id, r2.hit, r2.rank FROM hit JOIN r2 ON r2.hit = hit.id WHERE r2.rank <= 5
 UNION ALL SELECT query_id, 'spec', CAST(id AS VARCHAR), NULL, rank FROM bm2 WHERE rank <= 5""")
