@@ -5,11 +5,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandwork.operators import quantiles as q
 from strandwork.operators.references import broken_reference_counts, broken_references
-from strandwork.operators.sessions import SessionTimers, agent_sessions
-from strandwork.operators.tree_aggregation import distinct_counts, fan_in_report, row_counts, wrong_fan_in
+from strandwork.operators.sessions import SessionTimers, agent_sessions, session_pieces, sessionize
+from strandwork.operators.tree_aggregation import distinct_counts, distinct_in_chunks, fan_in_report, row_counts, wrong_fan_in
 
 T0 = datetime(2025, 1, 6)
 EDGE = "edge_id long, caller_id string, callee_id string, callee_file string, observed_at timestamp, n int, chunk string, key string"
@@ -39,6 +40,14 @@ def test_distinct_counts_with_a_hub(spark, chunks, fan_in):
     assert {(k, n) for k, n in row_counts(df, "key", "n", chunks, fan_in).collect()} == set(total.items())
 
 
+def test_one_pair_repeated(spark):
+    # the repeats of a pair go before anything is shuffled: one row is left of each chunk
+    df = spark.range(1_000_000, numPartitions=4).select(F.lit("hub").alias("key"), F.when(F.col("id") % 500_000 == 0, F.col("id")).otherwise(7).cast("string").alias("v"))
+    assert distinct_in_chunks(df, 50_000).count() <= 3 * (1_000_000 // 50_000 + 4)
+    assert rows(distinct_counts(df, "key", "v")) == [("hub", 3)]
+    assert distinct_in_chunks(df.limit(0)).collect() == []
+
+
 def test_fan_in(spark):
     nodes = spark.createDataFrame([("a", 2, 0, None, None, 9, "c"), ("a", 2, 0, None, None, 9, "c"), ("b", None, 0, None, None, 9, "c"), ("c", 0, 0, None, None, 9, "c"), ("d", 5, 0, None, None, 9, "c"), ("x", 7, 1, None, None, 9, "c")], NODE)
     edges = spark.createDataFrame([(1, "p", "a", None, None, 1, "", ""), (1, "p", "a", None, None, 1, "", ""), (2, "q", "a", None, None, 1, "", ""), (3, None, "d", None, None, 1, "", "")], EDGE)
@@ -156,6 +165,30 @@ def test_sessions_against_a_plain_walk(spark):
     assert agent_sessions(m.limit(0), n.limit(0)).collect() == []
 
 
+def test_sessions_over_slices_and_groups(spark, monkeypatch):
+    from strandwork.operators import sessions
+
+    monkeypatch.setattr(sessions, "GROUP", 3)
+    r = random.Random(9)
+    gap = 10
+    events = [(r.choice("ab"), us - 2000) for us in sorted(r.sample(range(6000), 900))] + [("long", us) for us in range(-300, 900, 10)] + [("edge", 120), ("edge", 130), ("edge", 141), (None, 5)]
+    want = []
+    for k in ("a", "b", "long", "edge"):
+        run = []
+        for us in sorted(u for key, u in events if key == k):
+            if run and us - run[-1] > gap:
+                want.append((k, run[0], run[-1], [len(run)]))
+                run = []
+            run.append(us)
+        want.append((k, run[0], run[-1], [len(run)]))
+    df = spark.createDataFrame(events, "k string, us long").withColumn("ts", F.timestamp_micros("us")).repartition(5)
+    args = (df, F.col("k"), F.col("ts"), F.lit(0), 1, gap, 12 * gap)
+    assert rows(sessionize(*args)) == sorted(want)
+    # most sessions are closed by a timer within their slice, and some within a group of slices
+    final, rest = session_pieces(*args)
+    assert final[0].count() > len(want) / 2 and final[1].count() > 0 and rest.count() < final[0].count()
+
+
 # -- p7 ------------------------------------------------------------------------------------------------------------
 
 
