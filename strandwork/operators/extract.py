@@ -113,6 +113,30 @@ def environment(files: DataFrame) -> DataFrame:
     return _rows(files, ENVIRONMENT, "name").groupBy("name").agg(F.count_distinct("file_id").alias("n_files"))
 
 
+def imported_names(files: DataFrame) -> DataFrame:
+    """(file_id, source, name, local): the names that JavaScript and TypeScript files import in braces, and what they are
+    called there; ``type`` before a name is left away."""
+    found = _all(r"(?m)^[ \t]*import\s+(?:type\s+)?(?:\w+\s*,\s*)?(\{[^}]*\}\s*from\s*['\"][^'\"]+['\"])")
+    f = files.where("content is not null").where(language_of("file_path").isin(*JS)).select("file_id", F.explode(found).alias("m"))
+    part = f.select("file_id", F.regexp_extract("m", r"from\s*['\"]([^'\"]+)['\"]$", 1).alias("source"), F.explode(F.split(F.regexp_extract("m", r"^\{([^}]*)\}", 1), ",")).alias("p"))
+    p = F.regexp_replace(F.trim(F.regexp_replace("p", r"\s+", " ")), "^type ", "")
+    return part.select("file_id", "source", F.regexp_extract(p, r"^([\w$]+)", 1).alias("name"), F.regexp_extract(p, r"([\w$]+)$", 1).alias("local")).where("name <> ''")
+
+
+def declared_packages(files: DataFrame) -> DataFrame:
+    """(file_id, file_path, package) of Java and Go files."""
+    f = files.where("content is not null").where(language_of("file_path").isin("Java", "Go"))
+    return f.select("file_id", "file_path", F.regexp_extract("content", r"(?md)^[ \t]*package[ \t]+([\w.]+)", 1).alias("package")).where("package <> ''")
+
+
+def resolved_java_imports(files: DataFrame) -> DataFrame:
+    """(file_id, source, target_id): imports of Java classes with the file of that package and name, the smallest of several."""
+    i = imports(files.where(language_of("file_path") == "Java")).where("source not like '%*'").select("file_id", "source").distinct()
+    own = declared_packages(files).where(language_of("file_path") == "Java")
+    own = own.select(F.concat("package", F.lit("."), F.regexp_extract("file_path", r"([^/]*)\.[^./]*$", 1)).alias("source"), F.col("file_id").alias("target_id"))
+    return i.join(own, "source").groupBy("file_id", "source").agg(F.min("target_id").alias("target_id"))
+
+
 def plain_path(path: Column) -> Column:
     """A path without '.' and '..' segments, however many; those that lead out of the root stay away."""
     def step(done: Column, part: Column) -> Column:

@@ -28,6 +28,10 @@ def _fixpoint_max(edges: DataFrame, start: DataFrame) -> DataFrame:
     return color
 
 
+#: Edges of a quotient in which one task finds the strong components.
+LOCAL_EDGES = 100_000
+
+
 def strong_components(edges: DataFrame, src: str = "caller_id", dst: str = "callee_id") -> DataFrame:
     """(id, component, size, self_loop): strong components; component is the smallest member id.
 
@@ -38,7 +42,8 @@ def strong_components(edges: DataFrame, src: str = "caller_id", dst: str = "call
 
     e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    _, flags = resolve_hierarchy(e, "src", "dst", every_ancestor=None)
+    # cycles alone take a task one pass over its edges, so a quotient may be larger than where paths are asked for
+    _, flags = resolve_hierarchy(e, "src", "dst", every_ancestor=None, max_local_edges=LOCAL_EDGES)
     member = cut(flags.where("state = 1").select(F.col("node").alias("id"), "scc"))
     named = member.groupBy("scc").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
     loops = e.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("self_loop"))

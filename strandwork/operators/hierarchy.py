@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.util import cut, partitions
+from strandwork.util import cut, drop_cut, partitions
 
 #: Largest quotient, in edges, that one task solves.
 MAX_LOCAL_EDGES = 2_000
@@ -290,7 +290,7 @@ def _solve(edges: DataFrame, every: bool | None, paths: bool, bound: int, level:
         out = cut(edges.repartition(1).mapInPandas(_local_solver(every, paths), _SOLVED))
         rows = out.where("target is not null").select("node", "target", "depth", "path")
         return rows, out.where("state is not null").select("node", "state", "scc")
-    if stuck == 3:
+    if stuck == (1 if every is None else 3):
         return _spread(edges, every, paths)
 
     keep = bool(every or paths)
@@ -339,6 +339,7 @@ def _solve(edges: DataFrame, every: bool | None, paths: bool, bound: int, level:
     lost = gone.select(F.col("v").alias("child"), F.col("exit").alias("parent"), F.col("xw").alias("w"), F.col("xvia").alias("via"))
     rows, flags = _lower(lost, rows, flags, _on_cycles(inner, gone, flags), edges, every, paths)
     rows, flags = cut(rows), cut(flags)
+    drop_cut(inner, x, gone, raw, whole, *([quotient, taken, fill] if taken is not None else []))
     rows, flags = _lower(leaves, rows, flags, None, edges, every, paths)
     return rows, flags
 

@@ -110,6 +110,30 @@ def file_dependencies(spark, d):
     )
 
 
+_JSFILES = "lower(regexp_extract(file_path, '[.]([A-Za-z0-9]+)$', 1)) IN ('ts', 'tsx', 'mts', 'js', 'jsx', 'mjs', 'cjs')"
+
+
+@query(rf"""WITH {_SOURCES}, m AS (SELECT file_id, unnest(regexp_extract_all(content, '(?m)^[ \t]*import\s+(?:type\s+)?(?:\w+\s*,\s*)?(\{{[^}}]*\}}\s*from\s*[''"][^''"]+[''"])', 1)) AS m FROM f WHERE content IS NOT NULL AND {_JSFILES}),
+p AS (SELECT file_id, regexp_extract(m, 'from\s*[''"]([^''"]+)[''"]$', 1) AS source, regexp_replace(trim(regexp_replace(unnest(string_split(regexp_extract(m, '^\{{([^}}]*)\}}', 1), ',')), '\s+', ' ', 'g')), '^type ', '') AS p FROM m)
+SELECT file_id, source, regexp_extract(p, '^([A-Za-z0-9_$]+)', 1) AS name, regexp_extract(p, '([A-Za-z0-9_$]+)$', 1) AS local FROM p WHERE regexp_extract(p, '^([A-Za-z0-9_$]+)', 1) <> ''""")
+def imported_names(spark, d):
+    return extract.imported_names(files(spark, d))
+
+
+_PACKAGES = rf"""pk AS (SELECT file_id, file_path, regexp_extract(content, '(?m)^[ \t]*package[ \t]+([A-Za-z0-9_.]+)', 1) AS package FROM f WHERE content IS NOT NULL AND lower(regexp_extract(file_path, '[.]([A-Za-z0-9]+)$', 1)) IN ('java', 'go'))"""
+
+
+@query(f"WITH {_SOURCES}, {_PACKAGES} SELECT * FROM pk WHERE package <> ''")
+def declared_packages(spark, d):
+    return extract.declared_packages(files(spark, d))
+
+
+@query(rf"""WITH {_SOURCES}, {_PACKAGES}, i AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?m)^import[ \t]+(?:static[ \t]+)?([A-Za-z0-9_.]+(?:\.\*)?);', 1)) AS source FROM f WHERE content IS NOT NULL AND lower(regexp_extract(file_path, '[.]([A-Za-z0-9]+)$', 1)) = 'java'),
+o AS (SELECT package || '.' || regexp_extract(file_path, '([^/]*)[.][^./]*$', 1) AS source, file_id AS target_id FROM pk WHERE package <> '' AND lower(file_path) LIKE '%.java') SELECT i.file_id, i.source, min(target_id) AS target_id FROM i JOIN o ON o.source = i.source GROUP BY 1, 2""")
+def resolved_java_imports(spark, d):
+    return extract.resolved_java_imports(files(spark, d))
+
+
 # -- functions -----------------------------------------------------------------------------------------------------
 
 

@@ -56,7 +56,10 @@ def code_normalised(spark, d):
     return files(spark, d).where("content is not null").select("file_id", t.sha16(plain).alias("hash"), F.length(plain).cast("long").alias("n_chars"))
 
 
-@query(None)
+_SKELETON = f"trim(regexp_replace(array_to_string(list_transform(list_filter(string_split({_STRIP}, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(?:console\\.\\w+|logger?\\.\\w+|log\\.\\w+|print(?:ln|f)?|fmt\\.Print\\w*|System\\.out\\.\\w+)\\s*\\(')), lambda x: rtrim(x, ' ')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+@query(f"WITH {_FILES}, k AS (SELECT file_id, content, {_SKELETON} AS skeleton FROM f WHERE content IS NOT NULL) SELECT file_id, skeleton, length(skeleton) < 0.8 * length(content) AS worth FROM k")
 def code_skeletons(spark, d):
     return files(spark, d).where("content is not null").select("file_id", t.skeleton("content").alias("skeleton"), t.skeleton_is_worth("content").alias("worth"))
 

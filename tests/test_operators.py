@@ -377,3 +377,14 @@ def test_other_languages(spark):
         (1, "function", "pub async fn show(&self) -> u8"), (1, "function", "pub fn run()"), (1, "type", "impl Deck"), (1, "type", "pub struct Deck<T>"), (2, "class", "class Box < Base"), (2, "class", "module Store"), (2, "method", "def put(x)"),
         (3, "function", "int Ring::at(int i) const"), (3, "type", "class Ring : public Base"), (4, "function", "func load(_ n: Int) async throws -> [Int]"), (4, "type", "public struct Feed"),
     ], key=repr)
+
+
+def test_imported_names_and_packages(spark):
+    code = [
+        (1, "a/x.ts", "import { a, b as c,\n  type D } from './m.js'\nimport E, { f } from \"n\"\nimport g from 'o'\n// import { no } from 'p'\n"), (2, "src/org/A.java", "package org.one;\nimport org.two.B;\nimport org.two.*;\nimport static java.util.List;\n"),
+        (3, "lib/B.java", "/* x */\npackage org.two;\npublic class B {}\n"), (4, "z.go", "package z\n"), (5, "e.java", ""), (6, None, None),
+    ]
+    f = spark.createDataFrame(code, "file_id long, file_path string, content string")
+    assert rows(extract.imported_names(f)) == sorted([(1, "./m.js", "a", "a"), (1, "./m.js", "b", "c"), (1, "./m.js", "D", "D"), (1, "n", "f", "f")], key=repr)
+    assert rows(extract.declared_packages(f)) == [(2, "src/org/A.java", "org.one"), (3, "lib/B.java", "org.two"), (4, "z.go", "z")]
+    assert rows(extract.resolved_java_imports(f)) == [(2, "org.two.B", 3)]
