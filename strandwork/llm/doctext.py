@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Words and notations that carry no description of their own.
 _TAG_DROPPED = (
@@ -63,6 +64,11 @@ _FOREIGN_ABSENCE = re.compile(
     r"未(?:記載|記述|文書化|作成|定)|説明(?:なし|は後|未)|(?:後で|あとで)(?:書|記)|自動生成|ドキュメント(?:なし|未)|上記参照|上を参照)",
     re.I,
 )
+#: One of these is in whatever the expression above finds, so that most sentences need no search.
+_FOREIGN_HINTS = (
+    "dokument", "beschr", "angabe", "folgt", "siehe", "automatisch", "docum", "descr", "à ", "voir ", "généré", "ase ", "generado", "por hacer", "ver acima", "gerado", "vedi sopra", "generato", "nog te", "zie ",
+    "описан", "документ", "см.", "сгенерирован", "未", "説明", "後で", "あとで", "自動生成", "ドキュメント", "上記参照", "上を参照",
+)
 _EDGE = re.compile(r"^\s*(?:/\*+|\*+/|\*+(?!\*)|//[/!]?|#+!?|--|;+|%+|\"\"\"|''')?[ \t]?|\s*(?:\*+/|\"\"\"|''')\s*$")
 _TAG = re.compile(r"\s*(?:[@\\](\w+)|:(\w+)[^:\n]*:)(.*)", re.S)
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -82,6 +88,7 @@ def clean(doc: str | None) -> str:
     return "\n".join(lines).strip()
 
 
+@lru_cache(maxsize=100_000)
 def _stem(w: str) -> str:
     for end in ("ing", "ers", "ed", "er", "es", "s"):
         if w.endswith(end) and len(w) - len(end) >= 3:
@@ -93,9 +100,10 @@ def _stem(w: str) -> str:
     return w[:-1] if len(w) > 3 and w[-1] == w[-2] else w
 
 
-def name_words(name: str | None) -> set[str]:
+@lru_cache(maxsize=100_000)
+def name_words(name: str | None) -> frozenset[str]:
     parts = [p.lower() for p in _PART.findall(name or "")]
-    return {_stem(p) for p in parts} | {_stem("".join(parts))}
+    return frozenset([*map(_stem, parts), _stem("".join(parts))])
 
 
 def informative(doc: str | None, name: str | None) -> bool:
@@ -135,11 +143,11 @@ def _says(sentence: str, own: set[str]) -> str:
         if name_words(w) <= own and w.lower() in words:
             words = [x for x in words if x != w.lower()]
     words = [w for w in words if w not in _FILLER and not w.isdigit() and _stem(w) not in own]
+    if words:
+        low = sentence.lower()
+        if any(h in low for h in _FOREIGN_HINTS) and _FOREIGN_ABSENCE.search(sentence):
+            return "absent"
+        if not all(w in _ABSENCE or re.fullmatch(r"v?\d+\w*", w) for w in words):
+            return "yes"
     marked = _TRIGGER.search(sentence) is not None
-    if not words:
-        return "absent" if marked else ""
-    if _FOREIGN_ABSENCE.search(sentence):
-        return "absent"
-    if all(w in _ABSENCE or re.fullmatch(r"v?\d+\w*", w) for w in words):
-        return "absent" if marked else "words"
-    return "yes"
+    return "absent" if marked else "words" if words else ""

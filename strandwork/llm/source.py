@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm.doctext import clean, informative
-from strandwork.llm.functions import find_functions
-from strandwork.llm.syntax.check import check, extension_language, parse
+from strandwork.llm.functions import Found, find_functions
+from strandwork.llm.syntax.check import check, extension_language, lex, parse_tokens
 from strandwork.util import partitions, trim_all
 
 
@@ -59,6 +59,20 @@ def invalid_rates(files: DataFrame) -> DataFrame:
     )
 
 
+def _documented(text: str, kind: str) -> list[Found]:
+    """The functions with documentation that says something, of a text that parses. Parsing costs most, so a text without
+    such a function is not parsed."""
+    tokens = lex(text, kind)
+    try:
+        told = [f for f in find_functions(tokens, kind) if informative(f.doc, f.name)]
+    except IndexError:
+        # a text that breaks off does not parse
+        if parse_tokens(tokens, kind)[0]:
+            raise
+        return []
+    return told if told and parse_tokens(tokens, kind)[0] else []
+
+
 def file_pairs(files: DataFrame) -> DataFrame:
     """(origin, record_id, name, line, code, description) of the documented functions of files that parse."""
 
@@ -69,11 +83,8 @@ def file_pairs(files: DataFrame) -> DataFrame:
                 found = extension_language(path)
                 if found is None or found[1] == "json" or not text:
                     continue
-                ok, _, tokens = parse(text, found[1])
-                if ok:
-                    for f in find_functions(tokens, found[1]):
-                        if informative(f.doc, f.name):
-                            rows.append(("file", i, f.name, f.line, text[f.start : f.end], clean(f.doc)))
+                for f in _documented(text, found[1]):
+                    rows.append(("file", i, f.name, f.line, text[f.start : f.end], clean(f.doc)))
             yield pd.DataFrame(rows, columns=["origin", "record_id", "name", "line", "code", "description"])
 
     some = files.where("content is not null and file_path is not null")

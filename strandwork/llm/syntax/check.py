@@ -84,13 +84,18 @@ def _misnamed(t: lexers.Lexed) -> int:
 def parse(text: str, kind: str) -> tuple[bool, int, lexers.Lexed]:
     """(valid, start of the token that stopped the parse, tokens)."""
     t = lex(text, kind)
+    return *parse_tokens(t, kind), t
+
+
+def parse_tokens(t: lexers.Lexed, kind: str) -> tuple[bool, int]:
+    """(valid, start of the token that stopped the parse) of lexed text."""
     try:
         ok, far = grammar("js" if kind == "jsx" else kind).parse(t.kinds, t.texts, t.newline, t.adjacent)
     except RecursionError:
-        return False, -1, t
+        return False, -1
     if ok and kind == "java" and (bad := _misnamed(t)) >= 0:
-        return False, t.starts[bad], t
-    return ok, t.starts[min(far, len(t.starts) - 1)], t
+        return False, t.starts[bad]
+    return ok, t.starts[min(far, len(t.starts) - 1)]
 
 
 def check(text: str | None, path: str | None) -> Verdict | None:
