@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,12 +62,14 @@ LEAST_RUN, LEAST_PROSE = 6, 5
 LEAST_PIECES = 10
 CHANGE_COST, LANGUAGE_COST = 9.0, 9.0
 REMEMBERED = 300_000
+#: Words of the sample that go out with their scores.
+SHIPPED = 20_000
 
 _HIDE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|https?://\S+|<\|\w+\|>", re.S)
 _LINE = re.compile(r"[^\r\n]+")
 _NO_PROSE = re.compile(r"(?: {4}|\t)|\s*\||\s*#|\s*>")
 _JA = "぀-ヿ㐀-䶿一-鿿ｦ-ﾝ々ー"
-_WORD = re.compile(rf"[{_JA}]{{1,2}}|(?:(?![{_JA}])[^\W\d_])+(?:['’](?:(?![{_JA}])[^\W\d_])+)*'?")
+_WORD = re.compile(rf"[{_JA}]{{1,2}}|[^\W\d_{_JA}]+(?:['’][^\W\d_{_JA}]+)*'?")
 _JA_START = re.compile(f"[{_JA}]")
 
 
@@ -85,15 +88,19 @@ def prose(text: str) -> str:
     return _LINE.sub(lambda m: " " * len(m.group()) if _NO_PROSE.match(m.group()) else m.group(), text)
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _form(w: str) -> str | None:
+    """A word in lower case, None for an identifier."""
+    tail = w[1:]
+    if not tail.islower() and any(c.isupper() for c in tail) and any(c.islower() for c in w):
+        return None
+    return w.lower().replace("’", "'")
+
+
 def words(text: str) -> list[tuple[str, int, int]]:
     """(lower-case word, start, end); Japanese comes in pieces of up to two letters, identifiers are left out."""
-    out = []
-    for m in _WORD.finditer(text):
-        w = m.group()
-        if any(c.isupper() for c in w[1:]) and any(c.islower() for c in w):
-            continue
-        out.append((w.lower().replace("’", "'"), m.start(), m.end()))
-    return out
+    found = [(_form(m.group()), *m.span()) for m in _WORD.finditer(text)]
+    return [f for f in found if f[0] is not None]
 
 
 def _bare(w: str) -> str:
@@ -109,11 +116,13 @@ class Models:
         self.table = np.zeros((1024, len(LANGS)))
 
     def __getstate__(self):
-        return [dict(g) for g in self.grams]
+        return [dict(g) for g in self.grams], list(self.known), self.table[: len(self.known)]
 
-    def __setstate__(self, grams):
+    def __setstate__(self, state):
         self.__init__()
-        self.grams = grams
+        self.grams, known, table = state
+        self.known = {w: i for i, w in enumerate(known)}
+        self.table = np.concatenate([table, np.zeros((1024, len(LANGS)))])
 
     def add(self, lang: int, word: str, times: int) -> None:
         g = self.grams[lang]
@@ -183,6 +192,9 @@ def fit(rows: list[tuple[str, str]], rounds: int = 2) -> Models:
     for _ in range(rounds):
         models = build([int(models.rows(ws).sum(axis=0).argmax()) for _, ws in lines])
     models.known.clear()
+    # the commonest words are scored once for all
+    often = Counter(w for _, ws in lines for w in ws)
+    models.rows([w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:SHIPPED]])
     return models
 
 
