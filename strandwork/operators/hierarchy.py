@@ -286,7 +286,7 @@ def _spread(edges: DataFrame, every: bool, paths: bool) -> tuple[DataFrame, Data
 def _solve(edges: DataFrame, every: bool | None, paths: bool, bound: int, level: int, stuck: int) -> tuple[DataFrame, DataFrame]:
     """(rows node, target, depth, path; flags node, state, scc) for the cut edge table."""
     n = edges.count()
-    if n <= bound and (level or every is None):
+    if not n or (n <= bound and (level or every is None)):
         out = cut(edges.repartition(1).mapInPandas(_local_solver(every, paths), _SOLVED))
         rows = out.where("target is not null").select("node", "target", "depth", "path")
         return rows, out.where("state is not null").select("node", "state", "scc")
