@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from strandwork.session import local_session
 
-    s = local_session(4, "tests", "4g")
+    # tables are tiny here: compiling a stage costs more than running it
+    s = local_session(4, "tests", "4g", spark__sql__codegen__wholeStage="false")
     yield s
     s.stop()
