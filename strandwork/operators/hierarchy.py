@@ -337,18 +337,22 @@ def _solve(edges: DataFrame, every: bool | None, paths: bool, bound: int, level:
         rows, flags = cut(rows), cut(flags)
     rows = cut(_between(raw, x.select("v"), rows)) if every else rows
     lost = gone.select(F.col("v").alias("child"), F.col("exit").alias("parent"), F.col("xw").alias("w"), F.col("xvia").alias("via"))
-    rows, flags = _lower(lost, rows, flags, _on_cycles(inner, gone, flags), edges, every, paths)
+    looped = cut(_on_cycles(inner, x, flags))
+    # a node that stayed while its own fragment's edge passes over it: the quotient does not see what enters it that way
+    passed = looped.join(gone.select(F.col("v").alias("node")), "node", "left_anti").select("node", F.lit(1).alias("state"), "scc")
+    flags = cut(flags.unionByName(passed).groupBy("node").agg(F.min("state").alias("state"), F.max("scc").alias("scc")))
+    rows, flags = _lower(lost, rows, flags, looped, edges, every, paths)
     rows, flags = cut(rows), cut(flags)
-    drop_cut(inner, x, gone, raw, whole, *([quotient, taken, fill] if taken is not None else []))
+    drop_cut(inner, x, gone, raw, whole, looped, *([quotient, taken, fill] if taken is not None else []))
     rows, flags = _lower(leaves, rows, flags, None, edges, every, paths)
     return rows, flags
 
 
-def _on_cycles(inner: DataFrame, gone: DataFrame, flags: DataFrame) -> DataFrame:
-    """(node, scc): the contracted nodes on a cycle. One is if, at or below it on its fragment, a node of its exit's
-    strong component enters; fragments are climbed in the partitions they were contracted in."""
+def _on_cycles(inner: DataFrame, chains: DataFrame, flags: DataFrame) -> DataFrame:
+    """(node, scc): the nodes of chains on a cycle. One is if, at or below it on its fragment, a node of its exit's
+    strong component enters; fragments are climbed in the partitions they were contracted in, over nodes that stayed too."""
     scc = flags.where("state = 1").select("node", "scc")
-    held = gone.join(scc.select(F.col("node").alias("exit"), "scc"), "exit").select("v", "up", "scc", "part")
+    held = chains.join(scc.select(F.col("node").alias("exit"), "scc"), "exit").select("v", "up", "scc", "part")
     marks = (
         inner.select("child", F.col("parent").alias("v")).join(held.select("v", "part", F.col("scc").alias("s1")), "v")
         .join(scc.select(F.col("node").alias("child"), F.col("scc").alias("s2")), "child").where("s1 = s2")

@@ -95,3 +95,26 @@ def test_empty_and_null(spark):
         assert rows(hierarchy_roots(df)) == set()
         assert rows(hierarchy_paths(df)) == set()
         assert rows(hierarchy_descendants(df)) == set()
+
+
+def test_cycles_over_nodes_that_another_fragment_ends_at(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "ROWS_PER_PARTITION", 8)
+    r = random.Random(5)
+    # rings with a node of two parents each, and chains that end at any of a ring's nodes
+    pairs = []
+    for k in range(4):
+        ring = [f"r{k}-{i:02d}" for i in range(24)]
+        pairs += list(zip(ring, ring[1:] + ring[:1])) + [(f"r{k}-05", f"r{k}-00")]
+        for j in range(8):
+            line = [r.choice(ring), *(f"t{k}-{j}-{i}" for i in range(5))]
+            pairs += list(zip(line, line[1:]))
+    up = {}
+    for p, c in pairs:
+        up.setdefault(c, set()).add(p)
+    want = {c: 1 if c.startswith("r") else 2 for c in up}
+    links = spark.createDataFrame(pairs, "parent_id string, child_id string")
+    _, flags = hierarchy.resolve_hierarchy(links, every_ancestor=None, max_local_edges=40)
+    got = flags.collect()
+    assert len(got) == len(want)
+    assert {f["node"]: f["state"] for f in got} == want
+    assert len({f["scc"] for f in got if f["state"] == 1}) == 4
