@@ -38,6 +38,17 @@ def http_edges(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return best.select("call_id", "route_id", F.element_at(F.array(F.lit("exact"), F.lit("path"), F.lit("fuzzy")), F.col("o") + 1).alias("confidence"))
 
 
+def hit_links(code: DataFrame, specs: DataFrame, code_words: DataFrame, spec_words: DataFrame, least: int = 2) -> DataFrame:
+    """(function_id, spec_id): code and specification hits of one query that have at least ``least`` words in common.
+
+    code and specs are rankings (query_id, id), code_words and spec_words (id, w). Only hits are compared, never all texts
+    that share a word.
+    """
+    own = lambda hits, words, out: hits.select("query_id", "id").join(words.join(hits.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("w").alias("w")), "id").select("query_id", F.col("id").alias(out), "w")
+    a, b = own(code, code_words, "function_id"), own(specs, spec_words, "spec_id").withColumnRenamed("w", "w2")
+    return a.join(b, "query_id").where(F.size(F.array_intersect("w", "w2")) >= least).select("function_id", "spec_id").distinct()
+
+
 def unified_search(code: DataFrame, specs: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, kind, score, rank): code and specification hits in one list, boosted where they are linked.
 

@@ -10,6 +10,7 @@ from strandwork.plans.text_queries import _BM25, _FUN, _TASKS_SQL, _TOK, _WORDS,
 from strandwork.functions.text import split_words
 from strandwork.sources import files as sources
 from strandwork.sources.tables import table
+from strandwork.util import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,10 +71,10 @@ def search_unified(spark, d):
     title = F.regexp_extract("text", r"Requirement:[ \t]*([^\r\n]*)", 1)
     from strandwork.functions.text import tokens
 
-    w1 = table(spark, d, "nodes").where("is_external = 0").select(F.col("id").alias("function_id"), F.explode(split_words("name")).alias("w")).distinct()
-    w2 = table(spark, d, "documents").where("doc_kind = 'spec' and text is not null").select(F.col("doc_id").alias("spec_id"), F.explode(tokens(title)).alias("w")).distinct()
-    links = w1.join(w2, "w").groupBy("function_id", "spec_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return routes.unified_search(code, _specs(spark, d, 50), links)
+    w1 = table(spark, d, "nodes").where("is_external = 0").select("id", F.explode(split_words("name")).alias("w"))
+    w2 = table(spark, d, "documents").where("doc_kind = 'spec' and text is not null").select(F.col("doc_id").alias("id"), F.explode(tokens(title)).alias("w"))
+    specs = _specs(spark, d, 50)
+    return routes.unified_search(code, specs, cut(routes.hit_links(code, specs, w1, w2)))
 
 
 @query(f"WITH {_TASKS_SQL}, {_FUN}, {_BM25}, n AS (SELECT id, min(language) AS language, min(fan_in) AS fan_in FROM nodes GROUP BY id) SELECT query_id, bm.id, score, rank FROM bm JOIN n ON n.id = bm.id WHERE rank <= 30 AND language = 'Go' AND fan_in >= 3")
