@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -242,46 +243,88 @@ def communities(edges: DataFrame, nodes: DataFrame, src: str = "caller_id", dst:
     return ids.join(label, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def betweenness(edges: DataFrame, src: str = "source", dst: str = "target", max_edges: int = 300_000) -> DataFrame:
+def _brandes(up: tuple[np.ndarray, ...], down: tuple[np.ndarray, ...], s: int) -> np.ndarray:
+    """Each node's share of the shortest paths from node s: up and down hold each node's links (first, number, ends).
+
+    A level takes the links from the last level's nodes, or those into nodes not reached yet, whichever are fewer.
+    """
+    n = len(up[1])
+
+    def fan(x: tuple[np.ndarray, ...], v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in v, other end) of all links of nodes v."""
+        k = x[1][v]
+        own = np.repeat(np.arange(len(v)), k)
+        return own, x[2][np.arange(len(own)) + np.repeat(x[0][v] - (np.cumsum(k) - k), k)]
+
+    ways, left = np.zeros(n), np.ones(n, bool)
+    into = down[1].sum() - down[1][s]
+    ways[s], left[s] = 1.0, False
+    front, steps = np.array([s]), []
+    last = np.zeros(n, bool)
+    while True:
+        if up[1][front].sum() <= into:
+            own, w = fan(up, front)
+            new = left[w]
+            v, w = front[own[new]], w[new]
+        else:
+            last[front] = True
+            rest = np.flatnonzero(left)
+            own, v = fan(down, rest)
+            new = last[v]
+            v, w = v[new], rest[own[new]]
+            last[front] = False
+        if not len(w):
+            break
+        steps.append((v, w))
+        ways += np.bincount(w, ways[v], n)
+        before, left[w] = left.copy(), False
+        front = np.flatnonzero(before & ~left)
+        into -= down[1][front].sum()
+    share = np.zeros(n)
+    for v, w in reversed(steps):
+        share += np.bincount(v, ways[v] / ways[w] * (1 + share[w]), n)
+    share[s] = 0.0
+    return share
+
+
+def betweenness(edges: DataFrame, src: str = "source", dst: str = "target", max_edges: int = 20_000_000) -> DataFrame:
     """(id, betweenness): shortest paths through each node over all sources, directed, unweighted, divided by the greatest
-    (or 1). The links are sent to all tasks behind a check of their number; sources are shared out over the tasks.
+    (or 1). Nodes are numbered and the links sent to all tasks as numbers, behind a check of how many they are; sources are
+    shared out over the tasks.
 
-    Beyond max_edges the same search runs as joins, for all sources at once.
+    Beyond max_edges the same search runs as joins, for a block of sources at a time.
     """
     spark = edges.sparkSession
     e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct())
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     if e.count() > max_edges:
         return _betweenness_joins(e, ids)
-    adjacency: dict[str, list[str]] = {}
-    for r in e.collect():
-        adjacency.setdefault(r["src"], []).append(r["dst"])
-    sent = spark.sparkContext.broadcast(adjacency)
-
-    def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        up = sent.value
-        total: dict[str, float] = {}
-        for b in batches:
-            for s in b["id"]:
-                order, before, ways, dist = [s], {}, {s: 1.0}, {s: 0}
-                for v in order:
-                    for w in up.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            ways[w] = ways.get(w, 0.0) + ways[v]
-                            before.setdefault(w, []).append(v)
-                share: dict[str, float] = {}
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        share[v] = share.get(v, 0.0) + ways[v] / ways[w] * (1 + share.get(w, 0.0))
-                    if w != s and w in share:
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame(list(total.items()), columns=["id", "part"])
-
-    parts = ids.repartition(spark.sparkContext.defaultParallelism * 2, "id").mapInPandas(brandes, "id string, part double")
-    return _scaled(ids, parts.groupBy("id").agg(F.sum("part").alias("b")))
+    named = cut(ids.withColumn("k", (F.row_number().over(Window.orderBy("id")) - 1).cast("long")))
+    coded = e.join(named.select(F.col("id").alias("src"), F.col("k").cast("int").alias("a")), "src").join(named.select(F.col("id").alias("dst"), F.col("k").cast("int").alias("b")), "dst")
+    pairs = cut(coded.select("a", "b")).toArrow()
+    a, b, n = pairs["a"].to_numpy().astype(np.int64), pairs["b"].to_numpy().astype(np.int64), named.count()
+    if not n:
+        return ids.withColumn("betweenness", F.lit(0.0))
+
+    def ends(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        k = np.bincount(x, minlength=n)
+        return np.cumsum(k) - k, k, y[np.argsort(x, kind="stable")]
+
+    sent = spark.sparkContext.broadcast((ends(a, b), ends(b, a)))
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up, down = sent.value
+        total = np.zeros(n)
+        for x in batches:
+            for s in x["id"]:
+                if up[1][s]:
+                    total += _brandes(up, down, s)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"k": some, "part": total[some]})
+
+    tasks = min(n, spark.sparkContext.defaultParallelism * 4)
+    parts = spark.range(0, n, 1, tasks).mapInPandas(shares, "k long, part double").groupBy("k").agg(F.sum("part").alias("b"))
+    return _scaled(ids, named.join(parts, "k").select("id", "b"))
 
 
 def _scaled(ids: DataFrame, b: DataFrame) -> DataFrame:
@@ -290,10 +333,28 @@ def _scaled(ids: DataFrame, b: DataFrame) -> DataFrame:
     return ids.join(b, "id", "left").select("id", F.coalesce(F.col("b") / F.lit(top), F.lit(0.0)).alias("betweenness"))
 
 
+#: Pairs of a source and a node that one block of sources may reach while betweenness runs as joins.
+PAIRS_PER_BLOCK = 20_000_000
+
+
 def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
-    """The same as joins: all sources go forward level by level counting ways, then back sharing them out."""
+    """The same as joins: a block of sources goes forward level by level counting ways, then back sharing them out; what
+    a block has written is deleted before the next."""
+    ids = cut(ids)
+    n = ids.count()
+    blocks = max(1, -(-n * n // PAIRS_PER_BLOCK))
+    total = None
+    for k in range(blocks):
+        part = _share_of_block(e, ids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k))
+        old, total = total, part if total is None else cut(total.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")))
+        if old is not None:
+            drop_cut(old, part)
+    return _scaled(ids, total)
+
+
+def _share_of_block(e: DataFrame, sources: DataFrame) -> DataFrame:
     none = F.lit(0)
-    levels = [cut(ids.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("ways"), none.alias("depth")))]
+    levels = [cut(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("ways"), none.alias("depth")))]
     seen = levels[0].select("s", "id")
     while True:
         last = levels[-1]
@@ -304,7 +365,7 @@ def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
         levels.append(nxt)
         seen = seen.unionByName(nxt.select("s", "id"))
     share = cut(levels[-1].select("s", "id", F.lit(0.0).alias("share")))
-    total = None
+    total, old = None, [share]
     for k in range(len(levels) - 1, 0, -1):
         low = levels[k].join(share, ["s", "id"])
         upper = levels[k - 1].select("s", F.col("id").alias("src"), F.col("ways").alias("w0"))
@@ -313,9 +374,10 @@ def _betweenness_joins(e: DataFrame, ids: DataFrame) -> DataFrame:
         share = cut(levels[k - 1].select("s", "id").join(part, ["s", "id"], "left").select("s", "id", F.coalesce("share", F.lit(0.0)).alias("share")))
         if k > 1:
             total = share if total is None else total.unionByName(share)
-    if total is None:
-        return ids.withColumn("betweenness", F.lit(0.0))
-    return _scaled(ids, total.where("s <> id").groupBy("id").agg(F.sum("share").alias("b")))
+        old.append(share)
+    out = cut((share.limit(0) if total is None else total).where("s <> id").groupBy("id").agg(F.sum("share").alias("b")))
+    drop_cut(*levels, *old)
+    return out
 
 
 #: Edges of a strong component that one task searches for cycles.

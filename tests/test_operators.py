@@ -89,6 +89,36 @@ def test_betweenness(spark, bound):
     assert got == {"a": 0.0, "b": pytest.approx(1 / 3), "c": pytest.approx(1 / 3), "d": 1.0, "e": 0.0}
 
 
+def test_betweenness_of_more_links_than_one_task_had(spark, monkeypatch):
+    # a dense graph, whose last levels are searched from the nodes not reached yet, and blocks of sources
+    r = random.Random(2)
+    pairs = sorted({(f"n{r.randrange(14):02d}", f"n{r.randrange(18):02d}") for _ in range(70)})
+    up = {}
+    for a, b in pairs:
+        if a != b:
+            up.setdefault(a, []).append(b)
+    want = dict.fromkeys([x for p in pairs for x in p if p[0] != p[1]], 0.0)
+    for s in want:
+        ways, level = {s: [[s]]}, [s]
+        while level:
+            nxt = {}
+            for v in level:
+                for w in up.get(v, ()):
+                    if w not in ways:
+                        nxt.setdefault(w, []).extend(p + [w] for p in ways[v])
+            ways |= nxt
+            level = list(nxt)
+        for t, found in ways.items():
+            for p in found:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(found)
+    top = max(want.values())
+    e = spark.createDataFrame(pairs, "source string, target string")
+    monkeypatch.setattr(graph, "PAIRS_PER_BLOCK", 200)
+    for bound in (1000, 0):
+        assert dict(rows(graph.betweenness(e, max_edges=bound))) == {k: pytest.approx(v / top) for k, v in want.items()}
+
+
 def test_pagerank_and_communities(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "source string, target string")
     r = dict(rows(graph.pagerank(e)))
